@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from postgrove.llm import licenses, media, packing, secrets
+from postgrove.llm import chat, licenses, media, packing, secrets
 
 _QUERIES = {
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op5_license_scan": licenses.op5_license_scan,
     "op4_media_columns": media.op4_media_columns,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op9_secret_scan": secrets.op9_secret_scan,
 }
 _SQL = {
+    "op6_chat_formatting": chat.SQL,
     "op9_secret_scan": secrets.SQL,
 }
 
