@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from postgrove.llm import chat, licenses, media, packing, secrets
+from postgrove.llm import chat, licenses, media, packing, secrets, toxicity
 
 _QUERIES = {
+    "op8_toxicity": toxicity.op8_toxicity,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op5_license_scan": licenses.op5_license_scan,
     "op4_media_columns": media.op4_media_columns,
