@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from postgrove.llm import chat, licenses, media, packing, secrets, toxicity
+from postgrove.llm import chat, licenses, media, packing, secrets, substrings, toxicity
 
 _QUERIES = {
+    "op10_substring_dedup": substrings.op10_substring_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op5_license_scan": licenses.op5_license_scan,
@@ -13,6 +14,7 @@ _QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
 }
 _SQL = {
+    "op10_substring_dedup": substrings.SQL,
     "op6_chat_formatting": chat.SQL,
     "op9_secret_scan": secrets.SQL,
 }
