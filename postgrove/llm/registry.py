@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from postgrove.llm import chat, licenses, media, packing, secrets, substrings, toxicity
+from postgrove.llm import chat, licenses, media, near_dedup, packing, secrets, substrings, toxicity
 
 _QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op6_chat_formatting": chat.op6_chat_formatting,
