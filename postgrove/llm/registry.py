@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from postgrove.llm import chat, licenses, media, near_dedup, packing, secrets, substrings, toxicity
+from postgrove.llm import ann, chat, licenses, media, near_dedup, packing, secrets, sentencepiece, substrings, toxicity
 
 _QUERIES = {
+    "op1_nearest_neighbours": ann.op1_nearest_neighbours,
+    "op7_sentencepiece": sentencepiece.op7_sentencepiece,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
