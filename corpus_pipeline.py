@@ -1,7 +1,57 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, repeated passages and live
+secrets are cut out, and what is left is packed into training sequences.
+
+Every stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but the last return the columns of ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from postgrove.llm import near_dedup, packing, secrets, substrings, toxicity
+from postgrove.llm.common import read_table, stored
+
+#: No SQL can express the classifier, so run() is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on the labels, rejects go."""
+    return toxicity.classify(docs, read_table(spark, sf_dir, "labels")).where("NOT toxic").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at 0.8 over shingles of five words, the document with the smallest id stays."""
+    gone = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 20 words and more that stand earlier are cut; every document stays."""
+    return substrings.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live credentials are replaced by a marker; widely copied examples and every document stay."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written as Parquet and read again by the next."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,6 +31,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from postgrove.llm.common import read_table, stored
 
@@ -74,7 +75,8 @@ class Words:
         order = np.lexsort((np.arange(len(ids)), ids))
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         self.order, self.ids = order, ids[order]
-        self.docs = [text[begins[i] : ends[i]].split() for i in order.tolist()]
+        self.text, self.borders = text, list(zip(begins[order].tolist(), ends[order].tolist()))
+        self.docs = [text[a:b].split() for a, b in self.borders]
         count = np.array([len(w) for w in self.docs], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum(count)])
         n = int(self.first[-1])
@@ -140,23 +142,25 @@ def slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``docs`` (doc_id, text) as chunks of about ``chunk_bytes``, compressed and written once: every later pass sees the same chunks."""
+    """``docs`` as chunks of about ``chunk_bytes``, compressed and written once: every later pass sees the same chunks. Columns but doc_id and text go along as JSON."""
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, made = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3), 0
-        ids, texts, held = [], [], 0
+        ids, texts, along, held = [], [], [], 0
 
         def chunk() -> pa.RecordBatch:
-            nonlocal made, ids, texts, held
+            nonlocal made, ids, texts, along, held
             ends = np.cumsum([len(x) for x in texts])
             words = sum(x.count(b" ") + x.count(b"\n") + 1 for x in texts)
-            row = pa.record_batch([pa.array([part << 32 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([packer.compress(b"".join(texts))], pa.binary()), pa.array([ends], pa.list_(pa.int64())), pa.array([words], pa.int64())], ["chunk", "ids", "blob", "ends", "n_words"])
-            made, ids, texts, held = made + 1, [], [], 0
+            row = pa.record_batch([pa.array([part << 32 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([packer.compress(b"".join(texts))], pa.binary()), pa.array([ends], pa.list_(pa.int64())), pa.array([along], pa.list_(pa.string())), pa.array([words], pa.int64())], ["chunk", "ids", "blob", "ends", "along", "n_words"])
+            made, ids, texts, along, held = made + 1, [], [], [], 0
             return row
 
         for batch in batches:
-            for i, t in zip(batch.column(0), batch.column(1)):
+            for i, t, x in zip(*batch.columns):
                 ids.append(i.as_py() if i.is_valid else int(LAST))
+                along.append(x.as_py())
                 texts.append((t.as_py() or "").encode())
                 held += len(texts[-1])
                 if held >= chunk_bytes:
@@ -164,7 +168,8 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if ids:
             yield chunk()
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "chunk long, ids array<long>, blob binary, ends array<long>, n_words long"), "chunks")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", (F.to_json(F.struct(*others)) if others else F.lit(None).cast("string")).alias("along"))
+    return stored(rows.mapInArrow(build, "chunk long, ids array<long>, blob binary, ends array<long>, along array<string>, n_words long"), "chunks")
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Words, dict[str, list]]]:
@@ -173,7 +178,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Words, d
         for k in range(batch.num_rows):
             row = {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
             words = Words(row["ids"].values.to_numpy(), row["blob"].as_py(), row["ends"].values.to_numpy())
-            yield row["chunk"].as_py(), words, {name: row[name].as_py() or [] for name in batch.schema.names if name.startswith("said_")}
+            yield row["chunk"].as_py(), words, {name: row[name].as_py() or [] for name in batch.schema.names if name.startswith("said_")} | {"along": row["along"]}
 
 
 def answers(said: list[dict], bucket: np.ndarray) -> np.ndarray:
@@ -207,9 +212,10 @@ def asked(chunks: DataFrame, ask: Callable, judge: Callable, name: str) -> DataF
 _ENTRY = np.dtype([("low", "<u4"), ("second", "<u8"), ("doc", "<i8"), ("start", "<u4")])
 
 
-def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, place, n_words, n_removed, kept) of each row of ``docs`` (doc_id, text): ``kept`` is its text if nothing goes, else the
-    kept words joined by one space; ``place`` numbers the rows."""
+def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, as_words: bool = False) -> DataFrame:
+    """``docs`` with n_words, n_removed and, as text, the kept words joined by one space. A text of which nothing goes stays as
+    it is, unless ``as_words``. Input columns named n_words or n_removed give way."""
+    docs = docs.drop("n_words", "n_removed")
     chunks = chunked(docs, chunk_bytes)
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, total // 3_000_000)
@@ -267,22 +273,28 @@ def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             gone = at[later | answers(said["said_windows"], bucket)[group]] if len(at) else at
             n = len(words.hash)
             removed = np.cumsum(np.bincount(gone, minlength=n + 1) - np.bincount(gone + WINDOW, minlength=n + 1))[:n] > 0 if n else np.zeros(0, dtype=bool)
-            rows = []
+            rows, along = [], said["along"].as_py()
             for k, of in enumerate(words.docs):
                 lost = removed[words.first[k] : words.first[k + 1]]
                 n_lost = int(lost.sum())
-                kept = b" ".join(compress(of, (~lost).tolist()) if n_lost else of).decode()
+                whole = words.text[slice(*words.borders[k])]
+                kept = b" ".join(compress(of, (~lost).tolist())) if n_lost else b" ".join(of) if as_words else whole
                 i = int(words.ids[k])
-                rows.append((None if i == LAST else i, chunk << 20 | int(words.order[k]), len(of), n_lost, kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "place", "n_words", "n_removed", "kept"])
+                rows.append((None if i == LAST else i, kept.decode(), len(of), n_lost, along[words.order[k]]))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "text", "n_words", "n_removed", "along"])
 
-    return known.join(windows, "chunk", "left").mapInArrow(cut, "doc_id long, place long, n_words long, n_removed long, kept string")
+    cleaned = known.join(windows, "chunk", "left").mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long, along string")
+    others = [f for f in docs.schema if f.name not in ("doc_id", "text")]
+    if others:
+        cleaned = cleaned.withColumn("along", F.from_json("along", StructType(others)))
+    back = {f.name: F.col("along")[f.name] for f in others}
+    return cleaned.select(*[back.get(c, F.col(c)).alias(c) for c in docs.columns], "n_words", "n_removed")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Passages of WINDOW words and more that stand earlier in ``documents`` are removed."""
-    return deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), as_words=True).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 SQL = r"""

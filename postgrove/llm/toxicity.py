@@ -135,13 +135,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Line
     return fit_chain(rows, np.column_stack([toxic * named, toxic * ~named, toxic]), folds)
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, key, p_abusive, p_veiled, p_toxic, toxic) of every document; ``key`` hashes id and text, to join back to the rows."""
-    chain = train(docs.select("doc_id", F.col(text).alias("text")), labels, sample)
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` with p_abusive, p_veiled, p_toxic and ``toxic``; columns of these names in the input give way."""
+    chain = train(docs.select("doc_id", "text"), labels, sample)
     names = [f"p_{c}" for c in CHAIN]
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    docs = docs.drop(*names, "toxic")
     if chain is None:
-        return keyed.select("doc_id", "key", *[F.lit(0.0).alias(n) for n in names], F.lit(False).alias("toxic"))
+        return docs.select("*", *[F.lit(0.0).alias(n) for n in names], F.lit(False).alias("toxic"))
     # The chain has three models of WIDTH weights, whatever the corpus.
     send = docs.sparkSession.sparkContext.broadcast([(np.flatnonzero(m.weights), m.weights[np.flatnonzero(m.weights)], m.slopes, m.bias) for m in chain])
 
@@ -154,9 +154,9 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
         known: dict[str, int] = {}
         for batch in batches:
             rows = []
-            for value in batch.column(2):
+            for value in batch.column(batch.schema.get_field_index("text")):
                 columns = set()
-                for t in tokens_of(value.as_py()):
+                for t in tokens_of(value.as_py() or ""):
                     c = known.get(t)
                     if c is None:
                         if len(known) > 500_000:
@@ -167,12 +167,13 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
             earlier = np.zeros((len(rows), 0))
             for m in models:
                 earlier = np.column_stack([earlier, m.predict(evidence_of(rows, m.weights), earlier)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(earlier[:, k]) for k in range(len(CHAIN))], pa.array(earlier[:, -1] >= threshold)], ["doc_id", "key", *names, "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(earlier[:, k]) for k in range(len(CHAIN))], pa.array(earlier[:, -1] >= threshold)], [*batch.schema.names, *names, "toxic"])
 
-    return keyed.mapInArrow(score, "doc_id long, key long, p_abusive double, p_veiled double, p_toxic double, toxic boolean")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(score, f"{kept}, {', '.join(f'{n} double' for n in names)}, toxic boolean")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     """Category probabilities of all ``documents``, fitted on ``labels``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classify(docs, read_table(spark, sf_dir, "labels")).drop("key")
+    return classify(docs, read_table(spark, sf_dir, "labels")).drop("text")
