@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register ``name``; ``sql`` is the DuckDB statement that must give the same rows."""
-
-    def put(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return put
+from postgrove.plans import feed_queries, link_queries, ranking_queries, report_queries, state_queries, stream_queries, text_queries  # noqa: F401
+from postgrove.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return dict(SQL)
