@@ -25,7 +25,7 @@ def host_counts(spark, sf_dir):
 
 
 @query("url_normalize_subset", rf"""WITH p AS (SELECT page_id, {_HOST} AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
-        list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), x -> x <> '' AND NOT regexp_matches(string_split(x, '=')[1], '^(utm_[a-z_]*|fbclid|gclid|msclkid|igshid|mc_[a-z]+|ref|ref_src|source|src|campaign)$', 'i')) AS kept FROM pages),
+        [x FOR x IN string_split(regexp_extract(url, '\?([^#]*)', 1), '&') IF x <> '' AND NOT regexp_matches(string_split(x, '=')[1], '^(utm_[a-z_]*|fbclid|gclid|msclkid|igshid|mc_[a-z]+|ref|ref_src|source|src|campaign)$', 'i')] AS kept FROM pages),
     q AS (SELECT page_id, host, CASE WHEN path = '' THEN '/' ELSE path END AS path, CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS query FROM p)
     SELECT page_id, 'https://' || host || CASE WHEN path <> '/' AND query = '' THEN regexp_replace(path, '/$', '') ELSE path END || query AS link FROM q""")
 def url_normalize(spark, sf_dir):

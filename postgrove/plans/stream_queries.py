@@ -1 +1,62 @@
-"""Queries."""
+"""Streaming queries over events as a source of files; each must give what the batch operator gives."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from postgrove.plans.registry import query
+from postgrove.session import read_table, shared_folder
+from postgrove.streaming import posts as P
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _events(spark, sf_dir):
+    return P.message_stream(spark, sf_dir, "events.parquet", read_table(spark, sf_dir, "events").schema)
+
+
+def _messages(rows):
+    return rows.select(F.col("event_id").alias("id"), F.lit(None).cast("string").alias("channel_id"), F.concat(F.lit("@Channel"), (F.col("user_id") % 40).cast("string")).alias("channel"), F.floor(F.col("event_id") / 2).cast("long").alias("message_id"), F.col("ts").alias("received_at"))
+
+
+_ONCE = "SELECT 'channel' || (user_id % 40) || ':' || (event_id // 2) AS message_key, arg_min(event_id, (ts, event_id)) AS id FROM events GROUP BY 1"
+
+
+@query("stream_ingest", _ONCE)
+def stream_ingest(spark, sf_dir):
+    """SRC3, SNK1: the stream stores what the batch would."""
+    return P.ingest(_messages(_events(spark, sf_dir)), _folder(spark, "ingest"), _folder(spark, "ingest-log")).select("message_key", "id")
+
+
+@query("stream_after_backlog", f"""WITH b AS (SELECT 'channel' || (user_id % 40) || ':' || (event_id // 2) AS message_key, arg_min(event_id, (ts, event_id)) AS id FROM events WHERE event_type = 'view' GROUP BY 1)
+    SELECT message_key, id FROM b UNION ALL SELECT * FROM ({_ONCE}) a WHERE a.message_key NOT IN (SELECT message_key FROM b)""")
+def stream_after_backlog(spark, sf_dir):
+    """SRC5: history first, then the live source without what history had."""
+    history = _messages(read_table(spark, sf_dir, "events").where("event_type = 'view'"))
+    return P.ingest(_messages(_events(spark, sf_dir)), _folder(spark, "ingest"), _folder(spark, "ingest-log"), history).select("message_key", "id")
+
+
+@query("stream_daily_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS key, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_counts(spark, sf_dir):
+    """Tumbling windows of a day in complete mode; nothing here is late."""
+    found = P.windowed_counts(_events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp")), "at", "event_type")
+    rows = P.run_to_table(found, f"daily_{uuid.uuid4().hex}", _folder(spark, "daily"), "complete")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "key", "n")
+
+
+@query("stream_admission")
+def stream_admission(spark, sf_dir):
+    """ST8: calls of a user are admitted up to 3 an hour. Each verdict depends on those before it, so SQL has no twin; a test replays it."""
+    calls = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
+    return P.run_to_table(P.admission(calls, "key", 3, 3600), f"admission_{uuid.uuid4().hex}", _folder(spark, "admission"))
+
+
+@query("broadcast_feed", "SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'imported' ELSE 'main' END AS feed, CASE WHEN event_id % 2 = 0 THEN 'created' ELSE 'updated' END AS event FROM events")
+def broadcast_feed(spark, sf_dir):
+    """SNK6."""
+    rows = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), (F.col("event_id") % 2 == 0).alias("is_new"))
+    return P.broadcast_rows(rows, ["view"]).select("id", "feed", "event")

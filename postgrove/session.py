@@ -29,3 +29,19 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only a local session without that setting gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    kept = context._jsc.sc().getCheckpointDir()
+    if kept.isDefined():
+        return kept.get()
+    own = tempfile.mkdtemp(prefix="postgrove-checkpoints-")
+    context.setCheckpointDir(own)
+    return context._jsc.sc().getCheckpointDir().get()

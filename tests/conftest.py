@@ -20,9 +20,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(cores=4, partitions=4)
-    session.conf.set("spark.sql.adaptive.enabled", "true")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+    session = local_session(cores=8, partitions=4, spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 
