@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from postgrove.session import read_table, shared_folder
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session without that setting gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = context._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        found = tempfile.mkdtemp(prefix="postgrove-checkpoints-")
-        context.setCheckpointDir(found)
-        return shared_folder(spark)
-    return found
+__all__ = ["read_table", "shared_folder", "stored"]
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
