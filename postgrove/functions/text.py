@@ -42,6 +42,24 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
 
 
+def by_first_letter(pattern: str) -> str:
+    """The same alternatives under their first letters, with or without a word border before: a place in a text is then tried for a few letters instead of every alternative."""
+    parts, depth, begin = [], 0, 0
+    for k, c in enumerate(pattern):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append(pattern[begin:k])
+            begin = k + 1
+    parts.append(pattern[begin:])
+    groups: dict[str, list[str]] = {}
+    for part in parts:
+        border = r"\b" if part.startswith(r"\b") else ""
+        letter, rest = part[len(border) : len(border) + 1], part[len(border) + 1 :]
+        plain = letter.isalpha() and rest[:1] not in ("?", "*", "+", "{")
+        groups.setdefault(border + letter if plain else part, []).append(rest if plain else "")
+    return "|".join(head + (f"(?:{'|'.join(rests)})" if any(rests) else "") for head, rests in groups.items())
+
+
 def trimmed(c: Column) -> Column:
     """White space of all kinds cut at both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -56,9 +74,9 @@ def prefilter(text: Column) -> Column:
     t = trimmed(F.coalesce(text, F.lit("")))
     return (
         F.when(t == "", "no text")
-        .when(t.rlike("(?i)" + ascii_bounds(JOB_SIGNALS)), "send")
+        .when(t.rlike("(?i)" + ascii_bounds(by_first_letter(JOB_SIGNALS))), "send")
         .when(F.length(t) < LEAST_USEFUL, "too short, no job signal")
-        .when(t.rlike("(?i)" + ascii_bounds(NOISE)), "promotion/greeting only")
+        .when(t.rlike("(?i)" + ascii_bounds(by_first_letter(NOISE))), "promotion/greeting only")
         .otherwise("no job signal")
     )
 
