@@ -15,6 +15,7 @@ repeat are packed each; a null doc_id is carried along; extra columns of the inp
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import Counter
@@ -33,20 +34,32 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUNS = re.compile(r"\s (?:\s|\Z)")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file with their ids; the library cuts texts at them before anything else."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError("added tokens that take in white space or stand only as words are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
 class Encoder:
     """Byte-level BPE of whole texts with a bounded memory of the segments seen.
 
     A text is cut before each space; the vocabulary's pattern never joins across such a cut (texts with runs
-    of white space are encoded in one go), so a segment always has the same ids. These are the ids
+    of white space are encoded in one go), so a segment always has the same ids. A text that holds an added
+    token is cut at it; the token has its own id and what stands between is encoded as texts. These are the ids
     that the ``tokenizers`` library gives for the JSON file of the same vocabulary; the tests compare both.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, end: int, remember: int = 500_000):
+    def __init__(self, ranks_path: str, pattern: str, end: int, remember: int = 500_000, added: dict[str, int] | None = None):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.end, self.remember, self.seen = end, remember, {}
+        self.end, self.remember, self.seen, self.added = end, remember, {}, added or {}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
 
     def segment(self, text: str) -> np.ndarray:
         ids = self.seen.get(text)
@@ -56,9 +69,15 @@ class Encoder:
             ids = self.seen[text] = np.array(self.encode(text), dtype="<u4").tobytes()
         return ids
 
+    def in_one_go(self, text: str) -> bytes:
+        """The ids of a whole text, added tokens among them."""
+        parts = self.cuts.split(text) if self.cuts else [text]
+        ids = [x for k, part in enumerate(parts) for x in ([self.added[part]] if k % 2 else self.encode(part))]
+        return np.array(ids, dtype="<u4").tobytes()
+
     def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each document closed by the end token; the documents' borders."""
-        n, whole = len(texts), [bool(RUNS.search(t)) for t in texts]
+        n, whole = len(texts), [bool(RUNS.search(t) or self.cuts and self.cuts.search(t)) for t in texts]
         parts = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole)], pa.large_string()), " ")
         first = np.asarray(parts.offsets)[:-1]
         count = np.diff(np.asarray(parts.offsets))
@@ -67,7 +86,7 @@ class Encoder:
         names = coded.dictionary.to_pylist()
         heads = parts.values.take(pa.array(first)).to_pylist()
         blobs = [self.segment(" " + x) for x in names]
-        blobs += [np.array(self.encode(t), dtype="<u4").tobytes() if w else self.segment(h) for t, w, h in zip(texts, whole, heads)]
+        blobs += [self.in_one_go(t) if w else self.segment(h) for t, w, h in zip(texts, whole, heads)]
         blobs.append(np.array([self.end], dtype="<u4").tobytes())
         codes[first] = len(names) + np.arange(n)
         of = np.repeat(np.arange(n), count)
@@ -82,13 +101,17 @@ class Encoder:
         return ids, borders
 
 
-def tokenized_pieces(docs: DataFrame, capacity: int = 1024, ranks: str | None = None, end: int = 2, batch_chars: int = 2_000_000) -> DataFrame:
-    """One row per piece of ``docs`` (doc_id, text). Only documents over ``capacity`` are cut; then all pieces but the first are full."""
+def tokenized_pieces(docs: DataFrame, capacity: int = 1024, ranks: str | None = None, end: int = 2, batch_chars: int = 2_000_000, added: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece of ``docs`` (doc_id, text). Only documents over ``capacity`` are cut; then all pieces but the first are full.
+    ``added``: the added tokens, those of the vocabulary's JSON file if not given."""
+    import public_tokenizers
+
+    tokens = added_tokens(public_tokenizers.path("byte_bpe_50k.json")) if added is None else added
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = Encoder(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end)
+        encoder = Encoder(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end, added=tokens)
 
         def rows(ids_of: list, texts: list) -> pa.RecordBatch:
             ids, borders = encoder.documents(texts)
