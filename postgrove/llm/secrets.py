@@ -1,8 +1,10 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Every text is searched for candidates of four kinds. The hash of each candidate's value is aggregated
-over the corpus by distinct owners and distinct repositories: a value that many owners hold is a
-widely copied example, one that few owners hold and that looks random is a live credential.
+over the corpus by distinct owners and distinct repositories: a value that many owners or many
+repositories hold is a widely copied example; one that few of both hold is a live credential if its kind
+says so. Assigned values and access keys are told by what stands before them, so any letters or digits
+will do; bare runs (hex, opaque) must hold both.
 
 Defined results: a null or empty text has no candidates; rows that repeat each get their own result;
 a null owner or repository counts as one more owner or repository; extra columns pass through
@@ -23,8 +25,11 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ASSIGN_KEPT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,512}(?![A-Za-z0-9+/_-])"
-LIVE = r"^(?=.*[0-9])(?=.*[A-Za-z]).{16,}$"
+OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9+/_-])"
+#: What a value must look like to be live, by kind.
+LIVE = ("[A-Za-z0-9]", "[A-Za-z0-9]", "^(?=.*[0-9]).*[A-Za-z]", "^(?=.*[0-9]).*[A-Za-z]")
+# A value that more owners, or more repositories, hold is widely copied.
+MAX_OWNERS, MAX_REPOS = 2, 20
 
 SPAN = "array<struct<start:int,kind:int,end:int,hash:binary>>"
 BLOCK = 256
@@ -72,7 +77,7 @@ def candidates(text: Column) -> Column:
     )
     return F.transform(
         F.array_sort(spans),
-        lambda m: F.struct(m["start"], m["kind"], m["end"], F.unhex(F.sha2(m["value"], 256)).alias("hash"), m["value"].rlike(LIVE).alias("live")),
+        lambda m: F.struct(m["start"], m["kind"], m["end"], F.unhex(F.sha2(m["value"], 256)).alias("hash"), reduce(lambda rest, k: F.when(m["kind"] == k, m["value"].rlike(LIVE[k])).otherwise(rest), range(len(KINDS)), F.lit(False)).alias("live")),
     )
 
 
@@ -81,11 +86,15 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda m: F.concat_ws(":", F.element_at(names, m["kind"] + 1), m["start"].cast("string"), m["end"].cast("string"))), ",")
 
 
-def annotate(docs: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", max_owners: int = 2) -> DataFrame:
+def widely_copied(n_owners: Column, n_repos: Column, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> Column:
+    return (n_owners > max_owners) | (n_repos > max_repos)
+
+
+def annotate(docs: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """``docs`` without its text, plus ``_pg_spans``: every candidate with the number of distinct owners
     (n_owners) and repositories (n_repos) that hold its value, and ``secret``: true if it is live.
 
-    A value is widely copied if more than ``max_owners`` owners hold it. The candidates are written once to
+    A value is widely copied if more than ``max_owners`` owners or more than ``max_repos`` repositories hold it. The candidates are written once to
     the shared folder; the aggregation then moves one row per candidate, pre-aggregated before each
     shuffle, and the verdicts return by a join on the value's hash, which Spark splits where one value is hot.
     """
@@ -108,7 +117,7 @@ def annotate(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
             *[F.col(f"_pg_m.{c}").alias(c) for c in ("start", "kind", "end", "hash")],
             "n_owners",
             "n_repos",
-            (F.col("_pg_m.live") & (F.col("n_owners") <= max_owners)).alias("secret"),
+            (F.col("_pg_m.live") & ~widely_copied(F.col("n_owners"), F.col("n_repos"), max_owners, max_repos)).alias("secret"),
         ).alias("_pg_m"),
     )
     spans = judged.groupBy("_pg_row").agg(F.array_sort(F.collect_list("_pg_m")).alias("_pg_spans"))
@@ -168,7 +177,7 @@ def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(kept).alias("spans"),
         F.size(F.filter("_pg_spans", lambda m: m["secret"])).cast("long").alias("n_live"),
-        F.size(F.filter("_pg_spans", lambda m: (m["kind"] < 3) & (m["n_owners"] > 2))).cast("long").alias("n_example"),
+        F.size(F.filter("_pg_spans", lambda m: (m["kind"] < 3) & widely_copied(m["n_owners"], m["n_repos"]))).cast("long").alias("n_example"),
     )
 
 
