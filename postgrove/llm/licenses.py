@@ -86,8 +86,16 @@ class Searcher:
         self.verify = lru_cache(100_000)(self._verify)
 
     def _verify(self, k: int, stretch: str) -> list[tuple[int, int, int]]:
-        """Non-overlapping (start, end, errors) of notice k in ``stretch``."""
-        return [(m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.notices[k][3].finditer(stretch)]
+        """Non-overlapping (start, end, errors) of notice k in ``stretch``. A search gives the best match of all, wherever it stands; what is left on both sides of it is searched again."""
+        _, notice, errors, pattern = self.notices[k]
+        out, left = [], [(0, len(stretch))]
+        while left:
+            begin, end = left.pop()
+            m = pattern.search(stretch, begin, end) if end - begin >= len(notice) - errors else None
+            if m:
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                left += [(begin, m.start()), (m.end(), end)]
+        return sorted(out)
 
     def find(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, label, score) of all notices in ``text``, characters, by start."""
