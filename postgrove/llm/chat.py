@@ -1,10 +1,12 @@
 """Chat formatting with schema fingerprints.
 
 Records of unknown layout come as JSON. The set of a record's nested field paths, with their kinds, is
-hashed; the hash selects a declarative mapping that says where roles and texts are. The canonical turns are
+hashed; the hash selects a declarative mapping that says where roles and texts are. Paths beside those that
+mappings name do not count, and null or empty values count as the texts that stand there otherwise. The canonical turns are
 then formatted by a template whose control strings are escaped inside texts, reversibly, and read back.
 
-Defined results: a null or missing text is an empty one, a null or missing role an empty role; a record
+Defined results: a null or missing text is an empty one, a null or missing role an empty role (of the paths
+of a layout one may be missing in the whole record); a record
 whose fingerprint no mapping knows yields no turn but is returned by ``unknown_layouts``; rows that repeat
 are turns each; turns of equal number are ordered by role and text; a null conversation id is a conversation
 of its own. One conversation may hold any share of the rows: its turns stream through one task in order,
@@ -17,6 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -56,6 +59,43 @@ MAPPINGS = {
 }
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 BY_FINGERPRINT = {fingerprint(paths): name for name, m in MAPPINGS.items() for paths in m["layouts"]}
+for _name, _m in MAPPINGS.items():  # one path may be missing; whole layouts and mappings that stand first come first
+    for _paths in (paths - {p} for paths in _m["layouts"] if len(paths) > 1 for p in sorted(paths)):
+        BY_FINGERPRINT.setdefault(fingerprint(_paths), _name)
+
+_STEPS = re.compile(r"\[\]|\.(?:(?!\[\]|\.).)*", re.S)
+#: Kinds of leaves that hold nothing.
+EMPTY = ("null", "list", "object")
+
+
+def steps_of(path: str) -> list[str]:
+    return _STEPS.findall(path.rpartition(":")[0])
+
+
+NAMED = [steps_of(p) for p in sorted(set().union(*(paths for m in MAPPINGS.values() for paths in m["layouts"])))]
+
+
+def named(path: str) -> bool:
+    """Whether ``path`` stands at, above or below one that a mapping names, or has a list where that has an object (or the reverse)."""
+    mine = steps_of(path)
+    for other in NAMED:
+        apart = next(((a, b) for a, b in zip(mine, other) if a != b), None)
+        if other and (apart is None or "[]" in apart):
+            return True
+    return False
+
+
+@lru_cache(100_000)
+def layout_of(paths: frozenset[str]) -> tuple[str | None, str]:
+    """The mapping that reads a record with these paths, if any, and the fingerprint that selects it, or that of all its paths."""
+    used = {p for p in paths if named(p)}
+    empty = {p for p in used if p.rpartition(":")[2] in EMPTY}
+    filled = used - empty
+    for these in (paths, filled | {p.rpartition(":")[0] + ":text" for p in empty}, filled):
+        mark = fingerprint(these)
+        if mark in BY_FINGERPRINT:
+            return BY_FINGERPRINT[mark], mark
+    return None, fingerprint(paths)
 
 
 def value_at(record: dict, path: str) -> str:
@@ -63,16 +103,16 @@ def value_at(record: dict, path: str) -> str:
     if "\n\n" in path:
         return "\n\n".join(x for x in (value_at(record, p) for p in path.split("\n\n")) if x)
     if path.endswith("[].text"):
-        return "".join(x.get("text") or "" for x in record.get(path[: -len("[].text")]) or [])
+        return "".join((x or {}).get("text") or "" for x in record.get(path[: -len("[].text")]) or [])
     return record.get(path) or ""
 
 
 def turns_of(record: dict, name: str) -> list[tuple[str, str]]:
     mapping = MAPPINGS[name]
-    elements = record[mapping["each"]] if "each" in mapping else [record]
+    elements = record.get(mapping["each"]) or [] if "each" in mapping else [record]
     rename = ROLES if name == "conversations" else {}
     out = []
-    for x in elements:
+    for x in (x or {} for x in elements):
         for role, path in mapping["turns"]:
             said = role[1:] if role.startswith("=") else x.get(role) or ""
             out.append((rename.get(said, said), value_at(x, path)))
@@ -90,8 +130,7 @@ def canonical_turns(records: DataFrame) -> DataFrame:
             rows = []
             for conv, turn, raw in zip(*(c.to_pylist() for c in batch.columns[:3])):
                 record = json.loads(raw) if raw else {}
-                mark = fingerprint(field_paths(record))
-                name = BY_FINGERPRINT.get(mark)
+                name, mark = layout_of(frozenset(field_paths(record)))
                 found = turns_of(record, name) if name else [(None, None)]
                 rows += [(conv, turn, k, role, text, name, mark) for k, (role, text) in enumerate(found)]
             kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 4]
