@@ -4,14 +4,17 @@ A document is the set of its word shingles. All coordinates of a signature come
 first places every shingle on a circle, the second is read from that place on, one step further for each
 coordinate. Bands of coordinates are bucket keys. Only one of several equal sets takes part.
 
-Links within a bucket are found without listing its pairs. Every member is compared with the bucket's
-centre, and the links join components. Where a bucket still holds several components beside its centre, the members outside
-its largest component are compared with all members, block by block, so no link among bucket mates of
-different components is missed. Every link is confirmed on the full sets. With the default bands,
+Links within a bucket are found without listing its pairs; buckets with the same members count once. In turns, every member
+is compared with one centre of its bucket (first the member with most bucket mates, which is the original rather than a
+copy), and the links join components. A bucket is settled when all its members that have been no centre are one component.
+What is still open after the turns is compared block by block, members outside the largest component with all, and a block gives
+only the links that join components. So no link among bucket mates of different components is missed, and what
+is written grows with the rows, not with their pairs. Every link is confirmed on the full sets. With the default bands,
 a pair at the threshold of 0.8 meets in no bucket with a probability of 3 in a million.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; a text with fewer words than a shingle
-is one shingle; rows with the same id are one document; rows without an id have no component and are kept.
+is one shingle, and a text of any length is taken whole; rows with the same id are one document, whose texts are linked; rows without an id have no
+component and are kept; an empty table gives an empty one; columns beside doc_id and text are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from postgrove.llm.common import read_table, stored
+from postgrove.llm.common import Scratch, read_table, stored
 
 PLACES = 1 << 20
 BANDS, ROWS = 32, 5
+#: Turns of comparing with one centre before blocks are compared.
+TURNS = 3
 _U = np.uint64
 
 
@@ -99,36 +104,49 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the smallest node that each linked node can reach. Labels spread along links and then
     jump to their label's label, so the number of rounds is about the logarithm of the longest path."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    both = scratch.stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    labels = stored(labels, "labels")
+    labels = scratch.stored(labels, "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         spread = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
         root = labels.select(F.col("node").alias("low"), F.col("component").alias("root"))
-        new = stored(spread.join(root, "low").select("node", F.col("root").alias("component"), (F.col("root") != F.col("component")).alias("moved")), "labels")
+        new = scratch.stored(spread.join(root, "low").select("node", F.col("root").alias("component"), (F.col("root") != F.col("component")).alias("moved")), "labels")
         moved = new.where("moved").limit(1).count()
         labels = new.select("node", "component")
         if not moved:
             return labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 256) -> DataFrame:
+def crowded_buckets(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, mates): the buckets that several sets share, of those with the same members one. ``mates`` adds up the sizes of all
+    buckets of a node."""
+    marks = ("mark0", "mark1")
+    member = sets.select("node", F.explode("bands").alias("key"), *[F.xxhash64("set", F.lit(m)).alias(m) for m in marks])
+    many = member.groupBy("key").agg(F.count(F.lit(1)).alias("many"), *[F.bit_xor(m).alias(m) for m in marks]).where("many > 1")
+    one = many.groupBy("many", *marks).agg(F.min("key").alias("key")).select("key", "many")
+    bucket = scratch.stored(member.select("node", "key").join(one, "key"), "members")
+    return scratch.stored(bucket.join(bucket.groupBy("node").agg(F.sum("many").alias("mates")), "node").select("key", "node", "mates"), "buckets")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 256, turns: int = TURNS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
-    signed = stored(signatures(docs, size, bands, rows), "signatures")
+    with Scratch(docs.sparkSession) as scratch:
+        return stored(_near_duplicates(docs, size, percent, bands, rows, block, turns, scratch), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, bands: int, rows: int, block: int, turns: int, scratch: Scratch) -> DataFrame:
+    signed = scratch.stored(signatures(docs, size, bands, rows), "signatures")
     # The sets: each is stood for by its smallest id.
-    sets = stored(signed.where("`set` IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "sets")
-    member = sets.select("node", F.explode("bands").alias("key"))
-    rank = F.struct(F.xxhash64("node").alias("rank"), F.col("node").alias("centre"))
-    crowded = member.groupBy("key").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", F.col("first.centre").alias("centre"))
-    bucket = stored(member.join(crowded, "key"), "buckets")
+    sets = scratch.stored(signed.where("`set` IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "sets")
+    bucket = crowded_buckets(sets, scratch)
 
     # The texts of all that have bucket mates, by node.
     mates = bucket.select("node").distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(mates, "node"), "texts")
+    texts = scratch.stored(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(mates, "node"), "texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, its = None, None
@@ -143,52 +161,80 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
                     out.append(k)
             yield pa.record_batch([a.take(pa.array(out, pa.int64())), b.take(pa.array(out, pa.int64()))], ["a", "b"])
 
-    spokes = bucket.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    links = stored(spokes.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long"), "spokes")
-    first = components(links)
-
-    # Buckets whose members beside the centre fall into several components: some pairs there are not judged yet.
-    placed = stored(bucket.join(first, "node", "left").select("key", "node", "centre", F.coalesce("component", "node").alias("component")), "placed")
-    beside = placed.where("node != centre").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    unsettled = placed.join(beside, "key")
-    main = (
-        unsettled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-        .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("many")).select("key", F.col("top.component").alias("main"), "many", (F.col("many") - F.col("top.n")).alias("few"))
-    )
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+
+    def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """``labels`` after ``links`` between nodes have joined their components."""
+        of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = components(named.where("a != b").distinct(), scratch).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        return scratch.stored(labels.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "components")
+
+    # An id with several texts links their sets.
+    several = signed.where("`set` IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low != high").select("doc_id")
+    same_id = signed.select("doc_id", "set").join(several, "doc_id").join(sets.select("set", "node"), "set").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+
+    same_id = scratch.stored(same_id, "same-id")
+    labels = scratch.stored(mates.union(same_id.select("a")).union(same_id.select("b")).distinct().withColumn("component", F.col("node")), "components")
+    if not same_id.isEmpty():
+        labels = relabelled(labels, same_id)
+    placed = bucket.withColumn("asked", F.lit(False)).join(labels, "node")
+    for turn in range(turns + 1):
+        # Open buckets: members that were no centre yet fall into several components; the largest of these is the main one.
+        sizes = placed.where("NOT asked").groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = (
+            sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("many"), F.count(F.lit(1)).alias("parts"))
+            .where("parts > 1").select("key", F.col("top.component").alias("main"), "many", (F.col("many") - F.col("top.n")).alias("few"))
+        )
+        if turn == turns:
+            break
+        unsettled = scratch.stored(placed.join(main, "key"), "open")
+        if turn and unsettled.isEmpty():
+            break
+        may = ~F.col("asked") & (F.lit(turn == 0) | (F.col("component") != F.col("main")))
+        first = unsettled.where(may).groupBy("key").agg(F.max(F.struct("mates", F.xxhash64("node").alias("rank"), F.col("node").alias("centre"), F.col("component").alias("its"))).alias("c")).select("key", "c.centre", "c.its")
+        centred = scratch.stored(unsettled.join(first, "key").withColumn("asked", F.col("asked") | (F.col("node") == F.col("centre"))), "centred")
+        spokes = centred.where("NOT asked AND component != its").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        links = scratch.stored(confirmed(spokes), "spokes")
+        labels = relabelled(labels, links)
+        placed = scratch.stored(centred.select("key", "node", "mates", "asked").join(labels, "node"), "placed")
+
+    # What is still open, block by block. Members that have been centres are done with.
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    rows_of = unsettled.join(main, "key").withColumns({"asks": F.col("component") != F.col("main"), "q": blocks("few"), "m": blocks("many")})
+    rows_of = placed.where("NOT asked").join(main, "key").withColumns({"outside": F.col("component") != F.col("main"), "q": blocks("few"), "m": blocks("many")})
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    asking = rows_of.where("asks").select("key", "node", "component", F.lit(True).alias("asks"), deal("q").alias("q"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("m"))
-    asked = rows_of.select("key", "node", "component", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("q"), deal("m").alias("m"))
+    columns = ("key", "node", "component", "outside")
+    asking = rows_of.where("outside").select(*columns, F.lit(True).alias("asks"), deal("q").alias("q"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("m"))
+    asked = rows_of.select(*columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("q"), deal("m").alias("m"))
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        """The links of one block that join components: a pair is passed over if its components are joined by then."""
+        asks, outside = table.column("asks").to_numpy(), table.column("outside").to_numpy()
+        node, label = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
         held = [shingle_set(x.as_py(), size) for x in table.column("text")]
-        others = np.flatnonzero(~asks)
-        sizes = np.array([len(held[i]) for i in others])
-        if not len(sizes):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        flat, begins = np.concatenate([held[i] for i in others]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sizes = np.array([len(x) for x in held])
         found = []
         for i in np.flatnonzero(asks):
+            # Two that are both outside meet in two blocks; the one in which the smaller asks will do.
+            fits = np.minimum(sizes, sizes[i]) * 100 >= percent * np.maximum(sizes, sizes[i])
+            others = np.flatnonzero(~asks & (label != label[i]) & fits & (~outside | (node > node[i])))
+            if not len(others):
+                continue
+            flat, begins = np.concatenate([held[j] for j in others]), np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
             at = np.minimum(np.searchsorted(held[i], flat), len(held[i]) - 1)
             both = np.add.reduceat((held[i][at] == flat).astype(np.int64), begins)
-            linked = (100 * both >= percent * (len(held[i]) + sizes - both)) & (component[others] != component[i])
-            found += [(node[i], node[j]) for j in others[linked]]
+            for j in others[100 * both >= percent * (sizes[i] + sizes[others] - both)]:
+                if label[j] != label[i]:
+                    found.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    rest = asking.unionByName(asked).join(texts, "node").select("key", "q", "m", "node", "component", "asks", "text")
-    more = stored(rest.groupBy("key", "q", "m").applyInArrow(compare, "a long, b long").distinct(), "links")
-    # Components that the second pass joins, then the nodes through them.
-    named = more.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    joined = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct())
-    label = (
-        sets.select("set", "node").join(first, "node", "left").select("set", F.coalesce("component", "node").alias("node"))
-        .join(joined, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
-    )
+    rest = asking.unionByName(asked).join(texts, "node").select("key", "q", "m", "node", "component", "outside", "asks", "text")
+    labels = relabelled(labels, scratch.stored(rest.groupBy("key", "q", "m").applyInArrow(compare, "a long, b long"), "links"))
+    label = sets.select("set", "node").join(labels, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
     return signed.select("doc_id", "n_shingles", "set").join(label, "set", "left").select(
         "doc_id",
         "n_shingles",

@@ -78,6 +78,20 @@ def test_near_dedup_chain_and_hot_group(spark):
     assert said(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == brute.near_duplicates(rows, 2)
 
 
+@pytest.mark.parametrize("turns", [0, 1])
+def test_near_dedup_blocks_after_the_turns(spark, turns):
+    """With few turns or none the blocks must find what is left, in several blocks and without listing pairs."""
+    rows = [(k, " ".join(f"h{j}" if (j + k) % 9 or j > 20 else f"odd{k}" for j in range(60))) for k in range(90)] + [(200 + k, " ".join(f"g{j}" if j != k % 30 else f"new{k}" for j in range(40))) for k in range(60)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, turns=turns, block=16)
+    assert said(got) == brute.near_duplicates(rows, 2)
+
+
+def test_an_id_with_two_texts_is_one_document(spark):
+    rows = [(3, "a b c d e f"), (7, "a b c d e f"), (7, "g h i j k l"), (9, "g h i j k l")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r["component_id"] for r in got} == {3} and [r["kept"] for r in got] == [r["doc_id"] == 3 for r in got]
+
+
 def test_rows_without_or_with_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(str, near_dedup.near_duplicates(df, 2).collect())) == sorted(["Row(doc_id=None, n_shingles=5, component_id=None, kept=True)"] * 2 + ["Row(doc_id=7, n_shingles=5, component_id=7, kept=True)"] * 2)
