@@ -146,7 +146,7 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, bands: int, rows:
 
     # The texts of all that have bucket mates, by node.
     mates = bucket.select("node").distinct()
-    texts = scratch.stored(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(mates, "node"), "texts")
+    texts = scratch.stored(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(mates.hint("merge"), "node"), "texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, its = None, None
@@ -162,9 +162,11 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, bands: int, rows:
             yield pa.record_batch([a.take(pa.array(out, pa.int64())), b.take(pa.array(out, pa.int64()))], ["a", "b"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked. Pairs are small and meet the texts first, so only the texts of pairs are shuffled, by ``a``, which many share."""
+        pairs = scratch.stored(pairs, "pairs")
         of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+        of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(pairs.select("a").distinct(), "a", "left_semi")
+        return pairs.join(of_b, "b").join(of_a.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
     def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
         """``labels`` after ``links`` between nodes have joined their components."""
@@ -232,7 +234,7 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, bands: int, rows:
                     label[label == label[j]] = label[i]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    rest = asking.unionByName(asked).join(texts, "node").select("key", "q", "m", "node", "component", "outside", "asks", "text")
+    rest = scratch.stored(asking.unionByName(asked), "blocks").join(texts, "node").select("key", "q", "m", "node", "component", "outside", "asks", "text")
     labels = relabelled(labels, scratch.stored(rest.groupBy("key", "q", "m").applyInArrow(compare, "a long, b long"), "links"))
     label = sets.select("set", "node").join(labels, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
     return signed.select("doc_id", "n_shingles", "set").join(label, "set", "left").select(
