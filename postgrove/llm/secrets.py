@@ -196,20 +196,20 @@ _UNION = " UNION ALL ".join(
         (0, _SQL_ASSIGN, 1, "length(v) >= 6"),
         (1, "AKIA[A-Z0-9]+", 0, "length(m) >= 20"),
         (2, "[0-9a-f]+", 0, "length(m) >= 24"),
-        (3, "[A-Za-z0-9+/_-]+", 0, "length(m) BETWEEN 32 AND 512 AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')"),
+        (3, "[A-Za-z0-9+/_-]+", 0, "length(m) >= 32 AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')"),
     )
 )
 SQL = f"""
 WITH spans AS ({_UNION}),
-owned AS (SELECT val, count(DISTINCT coalesce(source, '')) AS n_owners FROM spans GROUP BY val),
+owned AS (SELECT val, count(DISTINCT coalesce(source, '')) > 2 OR count(DISTINCT doc_id) > 20 AS copied FROM spans GROUP BY val),
 judged AS (
-    SELECT s.*, o.n_owners, length(s.val) >= 16 AND regexp_matches(s.val, '[0-9]') AND regexp_matches(s.val, '[A-Za-z]') AND o.n_owners <= 2 AS secret,
+    SELECT s.*, o.copied, regexp_matches(s.val, '[A-Za-z0-9]') AND (kind < 2 OR (regexp_matches(s.val, '[0-9]') AND regexp_matches(s.val, '[A-Za-z]'))) AND NOT o.copied AS secret,
         ['assign', 'access', 'hex', 'opaque'][s.kind + 1] || ':' || s.start::BIGINT || ':' || s.stop::BIGINT AS said
     FROM spans s JOIN owned o USING (val)),
 byd AS (
     SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
         coalesce(string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, coalesce(string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3 OR secret), '') AS spans,
-        count(*) FILTER (secret) AS n_live, count(*) FILTER (kind < 3 AND n_owners > 2) AS n_example
+        count(*) FILTER (secret) AS n_live, count(*) FILTER (kind < 3 AND copied) AS n_example
     FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example

@@ -67,20 +67,23 @@ def secret_spans(text: str | None) -> list[tuple[int, int, int, str]]:
     found = [(m.start(), 0, m.end(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
     found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text) if len(m[0]) >= 24]
-    found += [(m.start(), 3, m.end(), m[0]) for m in OPAQUE.finditer(text) if 32 <= len(m[0]) <= 512 and all(re.search(p, m[0]) for p in ("[A-Z]", "[a-z]", "[0-9]"))]
+    found += [(m.start(), 3, m.end(), m[0]) for m in OPAQUE.finditer(text) if len(m[0]) >= 32 and all(re.search(p, m[0]) for p in ("[A-Z]", "[a-z]", "[0-9]"))]
     return sorted(found)
 
 
-def redacted(docs: list[tuple], marker: str = "[SECRET]", max_owners: int = 2) -> dict:
+def redacted(docs: list[tuple], marker: str = "[SECRET]", max_owners: int = 2, max_repos: int = 20) -> dict:
     """doc_id: text without live secrets, of (doc_id, source, text)."""
     owners: dict[str, set] = {}
+    repos: dict[str, set] = {}
     spans = {i: secret_spans(t) for i, _, t in docs}
     for i, source, _ in docs:
         for *_, value in spans[i]:
             owners.setdefault(value, set()).add(source or "")
+            repos.setdefault(value, set()).add(i)
     out = {}
     for i, _, text in docs:
-        live = [(a, b) for a, _, b, v in spans[i] if len(owners[v]) <= max_owners and len(v) >= 16 and re.search("[0-9]", v) and re.search("[A-Za-z]", v)]
+        looks = lambda k, v: re.search("[A-Za-z0-9]", v) and (k < 2 or re.search("[0-9]", v) and re.search("[A-Za-z]", v))
+        live = [(a, b) for a, k, b, v in spans[i] if len(owners[v]) <= max_owners and len(repos[v]) <= max_repos and looks(k, v)]
         merged: list[list[int]] = []
         for a, b in live:
             if merged and a <= merged[-1][1]:
@@ -100,7 +103,6 @@ def pieces(docs: list[tuple], capacity: int = 1024) -> set:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = set()
     for (i, _), e in zip(docs, t.encode_batch([x or "" for _, x in docs], add_special_tokens=False)):
         ids = np.array([*e.ids, 2], dtype="<u4")
