@@ -16,7 +16,8 @@ for each. A passage that a third of the corpus holds is thus one entry per chunk
 
 Defined results: a null text counts as one without words; rows without an id come after all others; rows with
 the same id are one document, of which equal starts are no repeats of each other; texts shorter than a window
-stay; words are parted by ASCII white space only and otherwise compared byte for byte.
+stay; words are parted by ASCII white space only and otherwise compared byte for byte; a text of any length is one part of a chunk;
+an empty table gives an empty one; other columns of any type and name go along unchanged, but for n_words and n_removed, which give way to the results.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from postgrove.llm.common import read_table, stored
 
@@ -142,34 +143,39 @@ def slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``docs`` as chunks of about ``chunk_bytes``, compressed and written once: every later pass sees the same chunks. Columns but doc_id and text go along as JSON."""
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    """``docs`` as chunks of about ``chunk_bytes``, compressed and written once: every later pass sees the same chunks. All columns but the text go along as they are, the id as ``_pg_id``."""
+    along_of = F.struct(F.col("doc_id").alias("_pg_id"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, made = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3), 0
-        ids, texts, along, held = [], [], [], 0
+        ids, texts, along, held = [], [], [], 0  # along: stretches of the column
 
         def chunk() -> pa.RecordBatch:
             nonlocal made, ids, texts, along, held
             ends = np.cumsum([len(x) for x in texts])
             words = sum(x.count(b" ") + x.count(b"\n") + 1 for x in texts)
-            row = pa.record_batch([pa.array([part << 32 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([packer.compress(b"".join(texts))], pa.binary()), pa.array([ends], pa.list_(pa.int64())), pa.array([along], pa.list_(pa.string())), pa.array([words], pa.int64())], ["chunk", "ids", "blob", "ends", "along", "n_words"])
+            row = pa.record_batch([pa.array([part << 32 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([packer.compress(b"".join(texts))], pa.binary()), pa.array([ends], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(along)), pa.array([words], pa.int64())], ["chunk", "ids", "blob", "ends", "along", "n_words"])
             made, ids, texts, along, held = made + 1, [], [], [], 0
             return row
 
         for batch in batches:
-            for i, t, x in zip(*batch.columns):
+            taken = 0
+            for k, (i, t) in enumerate(zip(batch.column(0), batch.column(1))):
                 ids.append(i.as_py() if i.is_valid else int(LAST))
-                along.append(x.as_py())
                 texts.append((t.as_py() or "").encode())
                 held += len(texts[-1])
                 if held >= chunk_bytes:
+                    along.append(batch.column(2).slice(taken, k + 1 - taken))
+                    taken = k + 1
                     yield chunk()
+            if taken < batch.num_rows:
+                along.append(batch.column(2).slice(taken))
         if ids:
             yield chunk()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", (F.to_json(F.struct(*others)) if others else F.lit(None).cast("string")).alias("along"))
-    return stored(rows.mapInArrow(build, "chunk long, ids array<long>, blob binary, ends array<long>, along array<string>, n_words long"), "chunks")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", along_of.alias("along"))
+    kinds = [("chunk", LongType()), ("ids", ArrayType(LongType())), ("blob", BinaryType()), ("ends", ArrayType(LongType())), ("along", ArrayType(rows.schema["along"].dataType)), ("n_words", LongType())]
+    return stored(rows.mapInArrow(build, StructType([StructField(*k) for k in kinds])), "chunks")
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Words, dict[str, list]]]:
@@ -178,7 +184,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Words, d
         for k in range(batch.num_rows):
             row = {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
             words = Words(row["ids"].values.to_numpy(), row["blob"].as_py(), row["ends"].values.to_numpy())
-            yield row["chunk"].as_py(), words, {name: row[name].as_py() or [] for name in batch.schema.names if name.startswith("said_")} | {"along": row["along"]}
+            yield row["chunk"].as_py(), words, {name: row[name].as_py() or [] for name in batch.schema.names if name.startswith("said_")} | {"along": row.get("along")}
 
 
 def answers(said: list[dict], bucket: np.ndarray) -> np.ndarray:
@@ -261,9 +267,9 @@ def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, as_words: bool
         bit[order] = (y["doc"] != y["doc"][first]) | (y["start"] != y["start"][first])
         return np.split(bit, np.cumsum([len(e) // _ENTRY.itemsize for e in entries])[:-1])
 
-    symbols = asked(chunks, ask_symbols, judge_symbols, "symbols")
+    symbols = asked(chunks.drop("along"), ask_symbols, judge_symbols, "symbols")
     known = chunks.join(symbols, "chunk", "left")
-    windows = asked(known, ask_windows, judge_windows, "windows")
+    windows = asked(known.drop("along"), ask_windows, judge_windows, "windows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, words, said in chunks_of(batches):
@@ -273,23 +279,21 @@ def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, as_words: bool
             gone = at[later | answers(said["said_windows"], bucket)[group]] if len(at) else at
             n = len(words.hash)
             removed = np.cumsum(np.bincount(gone, minlength=n + 1) - np.bincount(gone + WINDOW, minlength=n + 1))[:n] > 0 if n else np.zeros(0, dtype=bool)
-            rows, along = [], said["along"].as_py()
+            rows = []
             for k, of in enumerate(words.docs):
                 lost = removed[words.first[k] : words.first[k + 1]]
                 n_lost = int(lost.sum())
                 whole = words.text[slice(*words.borders[k])]
                 kept = b" ".join(compress(of, (~lost).tolist())) if n_lost else b" ".join(of) if as_words else whole
-                i = int(words.ids[k])
-                rows.append((None if i == LAST else i, kept.decode(), len(of), n_lost, along[words.order[k]]))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "text", "n_words", "n_removed", "along"])
-
-    cleaned = known.join(windows, "chunk", "left").mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long, along string")
-    others = [f for f in docs.schema if f.name not in ("doc_id", "text")]
-    if others:
-        cleaned = cleaned.withColumn("along", F.from_json("along", StructType(others)))
-    back = {f.name: F.col("along")[f.name] for f in others}
-    return cleaned.select(*[back.get(c, F.col(c)).alias(c) for c in docs.columns], "n_words", "n_removed")
+                rows.append((kept.decode(), len(of), n_lost))
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            along = said["along"].values.take(pa.array(words.order))
+            yield pa.record_batch([*[pa.array(c, t) for c, t in zip(zip(*rows), kinds)], along], ["text", "n_words", "n_removed", "along"])
+
+    kinds = [("text", StringType()), ("n_words", LongType()), ("n_removed", LongType()), ("along", chunks.schema["along"].dataType.elementType)]
+    cleaned = known.join(windows, "chunk", "left").mapInArrow(cut, StructType([StructField(*k) for k in kinds]))
+    back = {"text": F.col("text")} | {c: F.col("along")["_pg_id" if c == "doc_id" else c] for c in docs.columns if c != "text"}
+    return cleaned.select(*[back[c].alias(c) for c in docs.columns], "n_words", "n_removed")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

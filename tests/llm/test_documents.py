@@ -107,6 +107,13 @@ def test_substring_dedup_odd_rows(odd, none):
     assert substrings.deduplicated(none).count() == 0
 
 
+def test_substring_dedup_keeps_other_columns_whole(spark):
+    rows = spark.sql("SELECT id AS doc_id, 'a b' AS text, timestamp'2024-01-02 03:04:05.123456' AS at, 1.10BD AS price, map('k', array(id, NULL)) AS m, X'00FF' AS raw, cast(NULL AS int) AS along FROM range(5)")
+    got = substrings.deduplicated(rows.repartition(2), chunk_bytes=4)
+    assert got.columns == [*rows.columns, "n_words", "n_removed"] and got.dtypes[: len(rows.columns)] == rows.dtypes
+    assert sorted(map(str, got.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+
+
 def test_substring_dedup_over_many_chunks(spark, docs):
     rows = spark.createDataFrame(plain(docs), "doc_id long, text string").repartition(7)
     want = brute.cut_repeats(plain(docs))
