@@ -2,18 +2,17 @@
 
 Vectors that are equal stand in the graph once, with the smallest ids that hold them (``k`` + 1 of them, since a
 query needs ``k`` beside itself). Shards are dealt by a hash of the id and hold a bounded number of vectors, so
-building needs one pass and its cost grows with the input. Queries go in blocks to every shard; each
+building needs one pass and its cost grows with the input. Queries go in parts to every shard; each
 returns its ``k`` best with exact distances, and the best of all shards remain.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components take no part;
 vectors are compared with those of equal length only; rows that repeat an id with one vector count once; with fewer
-candidates than ``k``, all are returned.
+candidates than ``k``, all are returned; an empty table or one without usable vectors gives no rows; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,36 +157,40 @@ def index(vectors: DataFrame, k: int = 10, rows_per_shard: int = ROWS_PER_SHARD)
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int32(), pa.list_(pa.list_(pa.int64()))]
         return pa.table([pa.array([v], t) for v, t in zip(row.values(), kinds)], list(row))
 
-    return stored(dealt.groupBy("dim", "shard").applyInArrow(make, GRAPH), "graphs")
+    # More partitions than shards, so that few shards share a task; a count given here is not coalesced by size.
+    return stored(dealt.repartition(3 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, GRAPH), "graphs")
 
 
-def nearest(queries: DataFrame, graphs: DataFrame, k: int = 10, width: int = WIDTH_SEARCH, block: int = 128) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest to each of ``queries`` (query_id, embedding), itself left out."""
-    asked = queries.where(usable()).select("query_id", F.col("embedding").cast("array<float>").alias("embedding")).distinct()
-    blocks = max(1, -(-asked.count() // block))
-    dealt = (
-        asked.groupBy(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-        .agg(F.collect_list("query_id").alias("query_ids"), F.flatten(F.collect_list("embedding")).alias("asked"))
-    )
-    met = dealt.join(graphs, "dim").select("dim", "query_ids", "asked", "vectors", "base", "layers", "links", "entry", "ids")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(c)[i] for c, name in enumerate(batch.schema.names)}
-                dim, ids = row["dim"].as_py(), row["ids"].as_py()
-                x = np.frombuffer(row["vectors"].as_py(), dtype="<f4").reshape(-1, dim).astype(np.float64)
-                layers = [(np.frombuffer(a, dtype=np.int32), np.frombuffer(b, dtype=np.int32).reshape(-1, LINKS)) for a, b in zip(row["layers"].as_py(), row["links"].as_py())]
-                graph = Graph(x, np.frombuffer(row["base"].as_py(), dtype=np.int32).reshape(-1, 2 * LINKS), layers, row["entry"].as_py())
-                asked = np.array(row["asked"].values, dtype=np.float64).reshape(-1, dim)
-                out = []
-                for query, own in zip(asked, row["query_ids"].as_py()):
-                    found = [(float(np.sqrt(((x[node] - query) ** 2).sum())), v) for _, node in graph.search(query, width) for v in ids[node] if v != own]
-                    out += [(own, v, d) for d, v in heapq.nsmallest(k, found)]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], ["query_id", "vec_id", "score"])
+def nearest(queries: DataFrame, graphs: DataFrame, k: int = 10, width: int = WIDTH_SEARCH, block: int = 1024) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest to each of ``queries`` (query_id, embedding), itself left out.
 
+    Queries are dealt into parts of about ``block`` and each part goes to every shard of its length; part and shard
+    meet in a group of their own, so a task holds one graph and one part at a time and no graph is broadcast."""
+    asked = queries.where(usable()).select("query_id", F.col("embedding").cast("array<float>").alias("embedding")).distinct()
+    parts = max(1, -(-asked.count() // block))
+    shards = graphs.select(F.col("dim").alias("of_dim"), F.col("shard").alias("of_shard"))
+    groups = 3 * parts * max(1, shards.count())  # more than there are, so that few meet in a task
+    keys, of = ("dim", "shard", "part"), ("of_dim", "of_shard", "of_part")
+    dealt = asked.select(F.size("embedding").alias("of_dim"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("of_part"), "query_id", "embedding").join(shards, "of_dim").repartition(groups, *of)
+    held = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(groups, *keys)
+
+    def search(part: pa.Table, shard: pa.Table) -> pa.Table:
+        out, names, kinds = [], ("query_id", "vec_id", "score"), (pa.int64(), pa.int64(), pa.float64())
+        if part.num_rows and shard.num_rows:
+            row = {name: shard.column(name)[0] for name in shard.column_names}
+            dim, ids = row["dim"].as_py(), row["ids"].as_py()
+            x = np.frombuffer(row["vectors"].as_py(), dtype="<f4").reshape(-1, dim).astype(np.float64)
+            layers = [(np.frombuffer(a, dtype=np.int32), np.frombuffer(b, dtype=np.int32).reshape(-1, LINKS)) for a, b in zip(row["layers"].as_py(), row["links"].as_py())]
+            graph = Graph(x, np.frombuffer(row["base"].as_py(), dtype=np.int32).reshape(-1, 2 * LINKS), layers, row["entry"].as_py())
+            vectors = np.concatenate([np.asarray(c.values, dtype=np.float64)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in part.column("embedding").chunks]).reshape(-1, dim)
+            for query, own in zip(vectors, part.column("query_id").to_pylist()):
+                found = [(float(np.sqrt(((x[node] - query) ** 2).sum())), v) for _, node in graph.search(query, width) for v in ids[node] if v != own]
+                out += [(own, v, d) for d, v in heapq.nsmallest(k, found)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), kinds)], names)
+
+    met = dealt.groupBy(*of).cogroup(held.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.mapInArrow(search, "query_id long, vec_id long, score double").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -15,23 +15,24 @@ from postgrove.llm import ann, chat, licenses, media, registry, sentencepiece
 from postgrove.session import read_table
 
 
-def brute_nearest(rows, k=10):
+def brute_nearest(rows, k=10, every=50):
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows], dtype=np.float64)
     out = {}
     for i, v in zip(ids, x):
-        if i % 100 == 0:
+        if i % every == 0:
             d = np.sqrt(((x - v) ** 2).sum(axis=1))
             order = sorted((dd, j) for dd, j in zip(d.tolist(), ids.tolist()) if j != i)[:k]
             out[int(i)] = [(j, dd) for dd, j in order]
     return out
 
 
-@pytest.mark.parametrize("per_shard", [4096, 100])
-def test_recall_of_nearest_neighbours(spark, sf_dir, per_shard):
-    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+@pytest.mark.parametrize("per_shard,block", [(4096, 1024), (500, 16)])
+def test_recall_of_nearest_neighbours(spark, per_shard, block):
+    """Against brute force over the 2 000 vectors of sf0.1, in one shard and one part and in several of both."""
+    rows = read_table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding")
     want = brute_nearest([(r["vec_id"], r["embedding"]) for r in rows.collect()])
-    found = ann.nearest(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), ann.index(rows, rows_per_shard=per_shard)).orderBy("query_id", "rank").collect()
+    found = ann.nearest(rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), ann.index(rows, rows_per_shard=per_shard), block=block).orderBy("query_id", "rank").collect()
     got: dict = {}
     for r in found:
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -41,6 +42,15 @@ def test_recall_of_nearest_neighbours(spark, sf_dir, per_shard):
     assert all(abs(d - dict(want[q])[j]) < 1e-9 for q in want for j, d in got[q] if j in dict(want[q]))
 
 
+def test_recall_of_the_query(spark):
+    sf = "/root/testdata/sf0.1"
+    want = brute_nearest([(r["vec_id"], r["embedding"]) for r in read_table(spark, sf, "embeddings").collect()], every=100)
+    found = registry.queries()["op1_nearest_neighbours"](spark, sf).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in found) == [(q, k) for q in sorted(want) for k in range(1, 11)]
+    hits = sum(r["vec_id"] in {j for j, _ in want[r["query_id"]]} for r in found)
+    assert hits / len(found) >= 0.9
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [float("inf"), 0.0]), (6, []), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0])] + [(k, [1.0, 0.0]) for k in range(20, 40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
