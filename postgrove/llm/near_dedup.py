@@ -6,8 +6,8 @@ coordinate. Bands of coordinates are bucket keys. Only one of several equal sets
 
 Links within a bucket are found without listing its pairs; buckets with the same members count once. In turns, every member
 is compared with one centre of its bucket (first the member with most bucket mates, which is the original rather than a
-copy), and the links join components. A bucket is settled when all its members that have been no centre are one component.
-What is still open after the turns is compared block by block, members outside the largest component with all, and a block gives
+copy), and the links join components. A bucket is settled when all its members that have been no centre are one component. Another turn follows while
+many pairs would be left; what is still open then is compared block by block, members outside the largest component with all, and a block gives
 only the links that join components. So no link among bucket mates of different components is missed, and what
 is written grows with the rows, not with their pairs. Every link is confirmed on the full sets. With the default bands,
 a pair at the threshold of 0.8 meets in no bucket with a probability of 3 in a million.
@@ -31,8 +31,8 @@ from postgrove.llm.common import Scratch, read_table, stored
 
 PLACES = 1 << 20
 BANDS, ROWS = 32, 5
-#: Turns of comparing with one centre before blocks are compared.
-TURNS = 3
+#: The most turns of comparing with one centre before blocks are compared, and how many pairs a member that blocks would compare make another turn worth its jobs.
+TURNS, PAIRS_A_MEMBER = 3, 4096
 _U = np.uint64
 
 
@@ -193,9 +193,11 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, bands: int, rows:
         )
         if turn == turns:
             break
+        if turn:
+            left = main.agg(F.sum(F.col("few").cast("double") * F.col("many")).alias("pairs"), F.sum("many").alias("members")).first()
+            if (left["pairs"] or 0) <= PAIRS_A_MEMBER * (left["members"] or 0):
+                break
         unsettled = scratch.stored(placed.join(main, "key"), "open")
-        if turn and unsettled.isEmpty():
-            break
         may = ~F.col("asked") & (F.lit(turn == 0) | (F.col("component") != F.col("main")))
         first = unsettled.where(may).groupBy("key").agg(F.max(F.struct("mates", F.xxhash64("node").alias("rank"), F.col("node").alias("centre"), F.col("component").alias("its"))).alias("c")).select("key", "c.centre", "c.its")
         centred = scratch.stored(unsettled.join(first, "key").withColumn("asked", F.col("asked") | (F.col("node") == F.col("centre"))), "centred")
