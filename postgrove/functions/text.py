@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -42,22 +43,37 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
 
 
-def by_first_letter(pattern: str) -> str:
-    """The same alternatives under their first letters, with or without a word border before: a place in a text is then tried for a few letters instead of every alternative."""
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern at its top level."""
     parts, depth, begin = [], 0, 0
     for k, c in enumerate(pattern):
         depth += (c == "(") - (c == ")")
         if c == "|" and not depth:
             parts.append(pattern[begin:k])
             begin = k + 1
-    parts.append(pattern[begin:])
-    groups: dict[str, list[str]] = {}
-    for part in parts:
-        border = r"\b" if part.startswith(r"\b") else ""
-        letter, rest = part[len(border) : len(border) + 1], part[len(border) + 1 :]
-        plain = letter.isalpha() and rest[:1] not in ("?", "*", "+", "{")
-        groups.setdefault(border + letter if plain else part, []).append(rest if plain else "")
-    return "|".join(head + (f"(?:{'|'.join(rests)})" if any(rests) else "") for head, rests in groups.items())
+    return [*parts, pattern[begin:]]
+
+
+def plain_words(pattern: str) -> tuple[list[str], str]:
+    """The alternatives that come down to a plain text which a place must hold, what may follow it being optional, and the other alternatives as one pattern. An alternative that holds one of these texts
+    in any case is left out."""
+    cut = r"(?:\[[a-z]+\]\?|\(\?:[^()|]*(?:\|[^()|]*)*\)\?|\\w\*)$"
+    bare = []
+    for part in alternatives(pattern):
+        while (shorter := re.sub(cut, "", part)) != part:
+            part = shorter
+        bare.append(part)
+    words = sorted({p for p in bare if re.fullmatch("[a-z]+", p)})
+    words = [w for w in words if not any(o != w and o in w for o in words)]
+    return words, "|".join(p for p in bare if not any(w in p for w in words))
+
+
+def says(text: Column, pattern: str) -> Column:
+    """The pattern stands in ``text``, in any case: plain texts are looked for one by one, then what else is left as a regular expression. Letters beyond ASCII are no capitals of others."""
+    words, rest = plain_words(pattern)
+    low = F.lower(F.regexp_replace(text, "[\u0130\u212a]", "\u0001"))
+    hit = lambda x: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: x.contains(w)) | (x.rlike(ascii_bounds(rest)) if rest else F.lit(False))
+    return F.get(F.transform(F.array(low), hit), F.lit(0))
 
 
 def trimmed(c: Column) -> Column:
@@ -74,9 +90,9 @@ def prefilter(text: Column) -> Column:
     t = trimmed(F.coalesce(text, F.lit("")))
     return (
         F.when(t == "", "no text")
-        .when(t.rlike("(?i)" + ascii_bounds(by_first_letter(JOB_SIGNALS))), "send")
+        .when(says(t, JOB_SIGNALS), "send")
         .when(F.length(t) < LEAST_USEFUL, "too short, no job signal")
-        .when(t.rlike("(?i)" + ascii_bounds(by_first_letter(NOISE))), "promotion/greeting only")
+        .when(says(t, NOISE), "promotion/greeting only")
         .otherwise("no job signal")
     )
 
@@ -176,32 +192,11 @@ def list_clean(c: Column, most: int) -> Column:
     return F.slice(once, 1, most)
 
 
-def company_key(c: Column) -> Column:
-    """SC17: a company's name without legal forms."""
-    name = F.regexp_replace(F.lower(F.trim(c)), "&", " and ")
-    name = F.regexp_replace(name, r"\b(?:pvt|private|ltd|limited|inc|llc|llp|plc|corp|corporation)\b\.?", " ")
-    return F.trim(F.regexp_replace(name, "[^a-z0-9]+", " "))
-
-
-def domain_matches_company(host: Column, company: Column) -> Column:
-    """SC18: one holds the other, letters and digits only."""
-    label = F.regexp_replace(F.element_at(F.split(host, r"\."), 1), "[^a-z0-9]", "")
-    name = F.regexp_replace(company_key(company), " ", "")
-    return (label != "") & (name != "") & (name.contains(label) | label.contains(name))
-
-
 def token_hash(c: Column) -> Column:
     """SC27."""
     return F.sha2(c, 256)
 
 
-def field_value(text: Column, labels: list[str]) -> Column:
-    """SC21: the first "Label: value" line with one of the labels, in any case."""
-    pattern = rf"(?im)^[^\S\n]*(?:{'|'.join(labels)})[^\S\n]*[:\-][^\S\n]*(\S[^\n]*?)[^\S\n]*$"
-    found = F.regexp_extract(text, pattern, 1)
-    return F.when(found != "", found)
-
-
 def shown_type(kind: Column, role: Column) -> Column:
     """SC22: the given type, else guessed from the title."""
     return F.coalesce(F.when(F.trim(kind) != "", F.trim(kind)), F.when(role.rlike("(?i)intern"), "Internship"), F.lit("Full-time"))
@@ -214,5 +209,19 @@ def monogram(c: Column) -> Column:
 
 
 def safe_file_name(c: Column) -> Column:
-    """SC25."""
-    return F.substring(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._ -]", "_"), r"\s+", " "), 1, 120)
+    """SC25: the name of a PDF file without its folders, of plain characters, at most 120; null for any other."""
+    base = trimmed(F.element_at(F.split(c, r"[/\\\\]", -1), -1))
+    return F.when((F.length(base) <= 120) & base.rlike(r"(?i)^[A-Za-z0-9_ .()-]+\.pdf$"), base)
+
+
+def search_query(company: Column, role: Column, location: Column, batch: Column) -> Column:
+    """SC25: what to ask a web search for a posting's own page; null without a company."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    quoted = lambda c: F.concat(F.lit('"'), given(c), F.lit('"'))
+    return F.when(given(company).isNotNull(), F.concat_ws(" ", quoted(company), quoted(role), given(location), given(batch), F.lit("careers apply official")))
+
+
+def site_terms(role: Column, filler: list[str]) -> Column:
+    """SC25: up to four words of a role worth looking for in a site map; null if none is."""
+    words = F.filter(F.split(F.lower(role), "[^a-z0-9+#]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*filler))
+    return F.nullif(F.array_join(F.slice(words, 1, 4), " "), F.lit(""))

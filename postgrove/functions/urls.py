@@ -11,23 +11,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Kinds of hosts; an entry stands for itself and all hosts below it.
-AGGREGATORS = "freshershunt.in job4freshers.co.in offcampusjobs4u.com freshersvoice.com freshercareers.in placementdrive.in fresheroffcampus.com kickcharm.com offcampusjobdrives.com jobs4fresher.com careerten.com".split()
-APPLICANT_SYSTEMS = (
-    "myworkdayjobs.com workdayjobs.com workday.com taleo.net successfactors.com successfactors.eu oraclecloud.com greenhouse.io lever.co ashbyhq.com smartrecruiters.com icims.com jobvite.com "
-    "darwinbox.in darwinbox.com zohorecruit.com zohorecruit.in keka.com freshteam.com joinsuperset.com eightfold.ai phenompeople.com avature.net brassring.com peoplestrong.com hirist.tech"
-).split()
-FORM_HOSTS = "forms.gle forms.office.com forms.microsoft.com forms.cloud.microsoft typeform.com zohoforms.com forms.zohopublic.in forms.zohopublic.com".split()
-FORM_PATH_HOSTS = "docs.google.com airtable.com".split()
-JOB_BOARDS = "linkedin.com indeed.com indeed.co.in naukri.com glassdoor.com glassdoor.co.in monsterindia.com foundit.in shine.com timesjobs.com internshala.com angel.co wellfound.com".split()
-WRAPPERS = (
-    "bit.ly bitly.com tinyurl.com t.co goo.gl ow.ly rebrand.ly cutt.ly shorturl.at rb.gy is.gd buff.ly lnkd.in l.facebook.com lm.facebook.com l.instagram.com href.li urlz.fr s.id linktr.ee "
-    "openinapp.co pdlink.in pdlinks.in imp.i384100.net go.acciojob.com link.outskill.com"
-).split()
-SUSPICIOUS_PARTS = "fresher offcampus off-campus jobs4u placement govtjob sarkari careerdose alljob jobalert jobupdate jobsdrive jobhunt naukriupdate".split()
-CAREER_LABELS = "career careers job jobs apply applications recruit recruiting recruitment hiring talent".split()
-TWO_PART_SUFFIXES = "co.in co.uk co.jp co.kr co.nz co.za com.au com.br com.mx com.sg ac.in ac.uk gov.in org.uk net.in".split()
-GENERIC_COMPANY = "the inc ltd llc llp plc pvt private limited corp corporation company group global india technologies technology solutions services systems software labs consulting international".split()
-WRAPPED_IN = "url u target redirect redirect_to redirecturl dest destination link goto out q".split()
+AGGREGATORS = [
+    "freshershunt.in", "job4freshers.co.in", "offcampusjobs4u.com", "freshersvoice.com", "freshercareers.in", "placementdrive.in", "fresheroffcampus.com", "kickcharm.com",
+    "offcampusjobdrives.com", "jobs4fresher.com", "careerten.com",
+]
+APPLICANT_SYSTEMS = [
+    "myworkdayjobs.com", "workdayjobs.com", "workday.com", "taleo.net", "successfactors.com", "successfactors.eu", "oraclecloud.com", "greenhouse.io", "lever.co", "ashbyhq.com",
+    "smartrecruiters.com", "icims.com", "jobvite.com", "darwinbox.in", "darwinbox.com", "zohorecruit.com", "zohorecruit.in", "keka.com", "freshteam.com", "joinsuperset.com", "eightfold.ai",
+    "phenompeople.com", "avature.net", "brassring.com", "peoplestrong.com", "hirist.tech",
+]
+FORM_HOSTS = [
+    "forms.gle", "forms.office.com", "forms.microsoft.com", "forms.cloud.microsoft", "typeform.com", "zohoforms.com", "forms.zohopublic.in", "forms.zohopublic.com",
+]
+FORM_PATH_HOSTS = ["docs.google.com", "airtable.com"]
+JOB_BOARDS = [
+    "linkedin.com", "indeed.com", "indeed.co.in", "naukri.com", "glassdoor.com", "glassdoor.co.in", "monsterindia.com", "foundit.in", "shine.com", "timesjobs.com", "internshala.com",
+    "angel.co", "wellfound.com",
+]
+WRAPPERS = [
+    "bit.ly", "bitly.com", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "rebrand.ly", "cutt.ly", "shorturl.at", "rb.gy", "is.gd", "buff.ly", "lnkd.in", "l.facebook.com", "lm.facebook.com",
+    "l.instagram.com", "href.li", "urlz.fr", "s.id", "linktr.ee", "openinapp.co", "pdlink.in", "pdlinks.in", "imp.i384100.net", "go.acciojob.com", "link.outskill.com",
+]
+SUSPICIOUS_PARTS = [
+    "fresher", "offcampus", "off-campus", "jobs4u", "placement", "govtjob", "sarkari", "careerdose", "alljob", "jobalert", "jobupdate", "jobsdrive", "jobhunt", "naukriupdate",
+]
+CAREER_LABELS = ["career", "careers", "job", "jobs", "apply", "applications", "recruit", "recruiting", "recruitment", "hiring", "talent"]
+TWO_PART_SUFFIXES = ["co.in", "co.uk", "co.jp", "co.kr", "co.nz", "co.za", "com.au", "com.br", "com.mx", "com.sg", "ac.in", "ac.uk", "gov.in", "org.uk", "net.in"]
+GENERIC_COMPANY = [
+    "the", "inc", "ltd", "llc", "llp", "plc", "pvt", "private", "limited", "corp", "corporation", "company", "group", "global", "india", "technologies", "technology", "solutions",
+    "services", "systems", "software", "labs", "consulting", "international",
+]
+WRAPPED_IN = ["url", "u", "target", "redirect", "redirect_to", "redirecturl", "dest", "destination", "link", "goto", "out", "q"]
 TRACKING = r"(?i)(utm_[a-z_]*|fbclid|gclid|msclkid|igshid|mc_[a-z]+|ref|ref_src|source|src|campaign)"
 OFFICIAL_SUFFIX = r"(?i)(?:^|\.)(?:gov|gov\.in|nic\.in|mil|ac\.in|edu|edu\.in|ac\.uk|res\.in)$"
 APPLY_PATH = r"(?i)/(?:careers?|jobs?|job-?de\w+|apply|application|openings?|vacanc\w*|positions?|recruit\w*|forms?|viewform|hcmui|candidate|search)(?:[/\-_.?=]|$)"
@@ -136,14 +150,17 @@ def verdict(raw: Column, company: Column, own: tuple[str, ...] = ("localhost",))
     return let(let(normalize(raw), parts), judge)
 
 
-def resolved_fields(raw: Column, company: Column) -> Column:
-    """UR9: what is stored of a link. Direct ones may be applied at; the others are kept as where the posting came from."""
-    empty = F.coalesce(F.trim(raw) == "", F.lit(True))
+def resolved_fields(raw: Column, company: Column, source: Column | None = None) -> Column:
+    """UR9: struct(apply_url, url_status, source_url, candidate) to store of a link. A direct one may be applied at; an aggregator's becomes the source; a wrapper or a
+    suspicious link is a candidate for a reader, no more. The given source stays otherwise."""
+    empty = F.coalesce(F.regexp_replace(raw, r"^\s+|\s+$", "") == "", F.lit(True))
+    given = F.nullif(F.trim(F.lit(None).cast("string") if source is None else source), F.lit(""))
 
     def fields(x: Column) -> Column:
-        direct = x["kind"] == "direct"
+        direct, kind = x["kind"] == "direct", x["kind"]
         status = F.when(direct, "verified").when(empty, "pending").otherwise("needs_review")
-        return F.struct(F.when(direct, x["url"]).alias("apply_url"), status.alias("url_status"), F.when(~direct & ~empty, x["url"]).alias("source_url"))
+        origin = F.when(kind == "aggregator", F.coalesce(x["url"], given)).otherwise(given)
+        return F.struct(F.when(direct, x["url"]).alias("apply_url"), status.alias("url_status"), origin.alias("source_url"), F.when(kind.isin("wrapper", "suspicious"), x["url"]).alias("candidate"))
 
     return let(F.struct(verdict(raw, company).alias("kind"), normalize(raw).alias("url")), fields)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, functions as F
 
@@ -93,11 +93,35 @@ def named_window(name: str, now: datetime, first: datetime | None = None, last:
     return (F.col("posted_at") >= ntz(span[0])) & (F.col("posted_at") < ntz(span[1]))
 
 
-def page_parameters(page: int = 1, limit: int = 20, sort: str = "newest") -> tuple[int, int, str]:
-    """FLT16: checked, or a ValueError."""
-    if page < 1 or not 1 <= limit <= 100 or sort not in ("newest", "oldest"):
-        raise ValueError("page must be 1 or more, limit 1 to 100, sort newest or oldest")
-    return page, limit, sort
+def page_parameters(page: int | str | None = None, limit: int | str | None = None, sort: str = "newest", usual_limit: int = 20) -> tuple[int, int, str]:
+    """FLT16: page and limit as whole numbers in their bounds and a known sort, or a ValueError. Missing ones have their usual values."""
+    def whole(value: int | str | None, usual: int, name: str, most: int | None = None) -> int:
+        text = str(usual if value is None else value).strip()
+        if not (text.isascii() and text.isdigit()) or int(text) < 1 or (most is not None and int(text) > most):
+            raise ValueError(f"{name} must be a whole number from 1" + (f" to {most}" if most else ""))
+        return int(text)
+
+    if sort not in ("newest", "oldest"):
+        raise ValueError("sort must be newest or oldest")
+    return whole(page, 1, "page"), whole(limit, usual_limit, "limit", 100), sort
+
+
+def instant(value: str | None, name: str) -> datetime | None:
+    """FLT16: an ISO 8601 date or date-time, in UTC without a zone; a ValueError for anything else, null for none."""
+    if value is None:
+        return None
+    try:
+        found = datetime.fromisoformat(value.strip())
+    except ValueError:
+        raise ValueError(f"{name} must be an ISO 8601 date or date-time") from None
+    return found.astimezone(timezone.utc).replace(tzinfo=None) if found.tzinfo else found
+
+
+def posting_id(value: str) -> str:
+    """FLT16: 24 hexadecimal digits, or a ValueError."""
+    if len(value) != 24 or any(c not in "0123456789abcdefABCDEF" for c in value):
+        raise ValueError("a posting's id has 24 hexadecimal digits")
+    return value.lower()
 
 
 def claimable(now: datetime) -> Column:

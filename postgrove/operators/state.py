@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postgrove.functions.clock import LIFETIME_DAYS, ntz
+from postgrove.functions.urls import resolved_fields
 from postgrove.operators.predicates import claimable, stale_claim
 
 # Delays and bounds of the work queues.
@@ -206,3 +207,13 @@ def change_log(before: DataFrame, after: DataFrame, column: str, run: str, now:
     a = after.select("id", F.col(column).alias("_new"))
     met = before.join(a, "id").where(~F.col(column).eqNullSafe(F.col("_new")))
     return met.select(F.col("id").alias("post_id"), F.lit(run).alias("run"), F.col(column).alias("old_url"), F.col("_new").alias("new_url"), ntz(now).alias("created_at"))
+
+
+def created(posts: DataFrame, now: datetime) -> DataFrame:
+    """SNK2 over (id, company, apply_url, source_url, ...): the rows that the only write path appends. Links are judged on the way in whatever their writer claims; ``discover`` marks
+    those that the search for a link is started for. Columns of the same names give way; all others go along."""
+    made = ("apply_url", "url_status", "source_url", "candidate", "verified", "checked_at", "found_by", "discover")
+    judged = posts.withColumn("_f", resolved_fields(F.col("apply_url"), F.col("company"), F.col("source_url")))
+    verified = F.col("_f.url_status") == "verified"
+    new = {"verified": verified, "checked_at": ntz(now), "found_by": F.when(verified, "direct_extraction"), "discover": ~verified} | {c: F.col(f"_f.{c}") for c in made[:4]}
+    return judged.select(*[c for c in posts.columns if c not in made], *[new[c].alias(c) for c in made])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postgrove.plans import evidence_queries, feed_queries, link_queries, ranking_queries, report_queries, state_queries, stream_queries, text_queries  # noqa: F401
+from postgrove.plans import evidence_queries, feed_queries, link_queries, ranking_queries, reader_queries, report_queries, state_queries, stream_queries, table_queries, text_queries  # noqa: F401
 from postgrove.plans.registry import QUERIES, SQL, Query
 
 

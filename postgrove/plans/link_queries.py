@@ -72,13 +72,6 @@ def url_verdict(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", U.verdict(F.col("url"), F.lit(None).cast("string")).alias("verdict"))
 
 
-@query("stored_link_fields", """SELECT * FROM (VALUES (1, 'https://forms.gle/a', 'verified', NULL), (2, NULL, 'needs_review', 'https://bit.ly/a'), (3, NULL, 'pending', NULL), (4, NULL, 'needs_review', NULL)) t(id, apply_url, url_status, source_url)""")
-def stored_link_fields(spark, sf_dir):
-    """UR9 on literal links."""
-    df = spark.createDataFrame([(1, "https://forms.gle/a"), (2, "https://bit.ly/a"), (3, None), (4, "mailto:x@y.example")], "id int, raw string")
-    return df.select("id", U.resolved_fields(F.col("raw"), F.lit(None).cast("string")).alias("f")).select("id", "f.*")
-
-
 @query("public_links", "SELECT * FROM (VALUES (1, 'https://bit.ly/a'), (2, NULL), (3, 'https://forms.gle/a'), (4, NULL)) t(id, link)")
 def public_links(spark, sf_dir):
     """UR10: a verified wrapper, an unverified one, an unverified form, no link."""
@@ -108,21 +101,10 @@ def linkify(spark, sf_dir):
     return df.select("id", F.array_join(F.transform(U.shown_links(F.col("text")), lambda u: F.regexp_replace(u, "[.,]+$", "")), ",").alias("links"))
 
 
-@query("page_anchors", r"""WITH b AS (SELECT page_id, CASE WHEN regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) ELSE html END AS body FROM pages),
-    h AS (SELECT page_id, unnest(regexp_extract_all(body, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href FROM b)
+@query("page_anchors", r"""WITH b AS (SELECT page_id, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) AS inside, html FROM pages),
+    h AS (SELECT page_id, unnest(regexp_extract_all(CASE WHEN length(inside) > 200 THEN inside ELSE html END, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href FROM b)
     SELECT page_id, count(*) AS n, count(DISTINCT trim(href)) AS n_distinct FROM h GROUP BY 1""")
 def page_anchors(spark, sf_dir):
     """UR13's extraction over whole pages."""
     found = A.anchors(read_table(spark, sf_dir, "pages"))
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("href").alias("n_distinct"))
-
-
-@query("page_candidates", """SELECT * FROM (VALUES ('https://acme.wd1.myworkdayjobs.com/r/1', 7), ('https://forms.gle/z', 4), ('https://acme.com/careers/9', 7)) t(link, score)""")
-def page_candidates(spark, sf_dir):
-    """UR13, SRC8 on a literal article: other aggregators, mail, own and relative links are left out."""
-    html = (
-        '<nav><a href="https://forms.gle/nav">Apply</a></nav><article><a class="x" href="https://acme.wd1.myworkdayjobs.com/r/1"><b>Apply</b> now</a> <a href=\'https://forms.gle/z\'>Register</a>'
-        '<a href="https://acme.com/careers/9">more</a><a href="https://freshershunt.in/apply">Apply</a><a href="mailto:a@b.example">Apply</a><a href="/apply/own">Apply here</a><a href="https://other.com/">home</a></article>'
-    )
-    page = spark.createDataFrame([(1, "https://news.site/acme-hiring", html)], "page_id long, url string, html string")
-    return A.candidates(page, F.lit("Acme")).select("link", "score")

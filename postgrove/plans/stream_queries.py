@@ -44,7 +44,7 @@ def stream_after_backlog(spark, sf_dir):
 def stream_daily_counts(spark, sf_dir):
     """Tumbling windows of a day in complete mode; nothing here is late."""
     found = P.windowed_counts(_events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp")), "at", "event_type")
-    rows = P.run_to_table(found, f"daily_{uuid.uuid4().hex}", _folder(spark, "daily"), "complete")
+    rows = P.run_to_files(found, _folder(spark, "daily"), _folder(spark, "daily-log"), "complete")
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "key", "n")
 
 
@@ -52,7 +52,7 @@ def stream_daily_counts(spark, sf_dir):
 def stream_admission(spark, sf_dir):
     """ST8: calls of a user are admitted up to 3 an hour. Each verdict depends on those before it, so SQL has no twin; a test replays it."""
     calls = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
-    return P.run_to_table(P.admission(calls, "key", 3, 3600), f"admission_{uuid.uuid4().hex}", _folder(spark, "admission"))
+    return P.run_to_files(P.admission(calls, "key", 3, 3600), _folder(spark, "admission"), _folder(spark, "admission-log"))
 
 
 @query("broadcast_feed", "SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'imported' ELSE 'main' END AS feed, CASE WHEN event_id % 2 = 0 THEN 'created' ELSE 'updated' END AS event FROM events")

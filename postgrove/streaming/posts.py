@@ -1,6 +1,7 @@
 """Structured Streaming over files of messages (SRC3, SRC5, SNK1, SNK6, ST8, ST10). The rules are those of the batch operators.
 
-Deduplication is unbounded, as keys stay unique for ever, so it is an anti-join with the stored keys and not a window of state. Each batch is
+Deduplication is unbounded, as keys stay unique for ever, so it is an anti-join with the stored keys and not a window of state. What is stored is partitioned by a
+hash of the key, and a batch reads the key column of its own partitions only. Each batch is
 written to a folder named by its number and overwritten if it runs again, so a restarted stream stores nothing twice."""
 
 from __future__ import annotations
@@ -10,10 +11,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from postgrove.operators.state import admitted, message_key
 
+#: Partitions of the stored messages by their key's hash.
+PARTS = 16
+
 
 def message_stream(spark: SparkSession, folder: str, name: str, schema: StructType, channels: list[str] | None = None, files_per_batch: int = 1) -> DataFrame:
     """SRC3: messages as they arrive in a folder; those without text, or of channels that are not listened to, are skipped."""
@@ -23,35 +27,47 @@ def message_stream(spark: SparkSession, folder: str, name: str, schema: StructTy
     return rows.where(F.lower("channel").isin(*[c.lower() for c in channels])) if channels is not None else rows
 
 
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """The store that holds ``path``, and the path, as Spark sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def batches_in(spark: SparkSession, target: str) -> list[str]:
+    """The names of the batch folders under ``target``."""
+    files, root = files_of(spark, target)
+    return sorted(x.getPath().getName() for x in files.listStatus(root) if x.getPath().getName().startswith("batch=")) if files.exists(root) else []
+
+
 def stored_messages(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(target)
+    """What is stored, with the partition of its key (part)."""
+    return spark.read.schema(StructType([*schema.fields, StructField("part", IntegerType())])).parquet(target)
 
 
-def ingest(messages: DataFrame, target: str, checkpoint: str, backlog: DataFrame | None = None) -> DataFrame:
+def ingest(messages: DataFrame, target: str, checkpoint: str, backlog: DataFrame | None = None, parts: int = PARTS) -> DataFrame:
     """SNK1, SRC5: appends messages with new keys (message_key added) under ``target`` until the source is read up; gives what is stored.
 
-    ``backlog`` is the history read beside the live source; it goes in first, and what both have is stored once."""
+    ``backlog`` is the history read beside the live source; it goes in first, and what both have is stored once. ``parts`` stays as it was when the target was begun."""
     spark = messages.sparkSession
     schema = messages.withColumn("message_key", message_key()).schema
-
-    def store(batch: DataFrame, folder: str) -> None:
-        earlier = stored_messages(batch.sparkSession, f"{target}/*", schema) if have(folder) else None
-        new = admitted(batch, earlier) if earlier is not None else admitted(batch, batch.sparkSession.createDataFrame([], schema))
-        new.select(*schema.names).write.mode("overwrite").parquet(f"{target}/{folder}")
-
-    def have(folder: str) -> bool:
-        """True if another batch is stored; a part left by a failed run of this one is removed first."""
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(target)
-        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(jvm.org.apache.hadoop.fs.Path(root, folder), True)
-        return files.exists(root) and len(files.listStatus(root)) > 0
+    part = F.pmod(F.xxhash64("message_key"), F.lit(parts)).cast("int")
+
+    def store(batch: DataFrame, name: str) -> None:
+        session, folder = batch.sparkSession, f"{target}/batch={name}"
+        files, at = files_of(session, folder)
+        files.delete(at, True)  # left by a failed run of this batch
+        if batches_in(session, target):
+            asked = [r["part"] for r in batch.select(message_key().alias("message_key")).select(part.alias("part")).distinct().collect()]  # at most ``parts`` numbers
+            earlier = stored_messages(session, target, schema).where(F.col("part").isin(*asked) if asked else F.lit(False))
+        else:
+            earlier = session.createDataFrame([], schema)
+        admitted(batch, earlier).select(*schema.names).withColumn("part", part).write.partitionBy("part").parquet(folder)
 
     if backlog is not None:
         store(backlog.select(*messages.columns), "backlog")
-    run = messages.writeStream.foreachBatch(lambda batch, k: store(batch, f"batch-{k}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run = messages.writeStream.foreachBatch(lambda batch, k: store(batch, str(k))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    return stored_messages(spark, f"{target}/*", schema)
+    return stored_messages(spark, target, schema).select(*schema.names)
 
 
 def windowed_counts(events: DataFrame, at: str, key: str, width: str = "1 day", late: str = "7 days") -> DataFrame:
@@ -84,11 +100,15 @@ def admission(calls: DataFrame, key: str, most: int = 10, seconds: int = 60) ->
     return calls.groupBy(key).applyInPandasWithState(judge, "key long, id long, admitted boolean", "starts array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what its source has now into a memory table: for tests and small reports."""
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what its source has now, each batch into a folder of its own that a rerun overwrites; gives all batches, or in complete mode the last, which holds everything."""
+    spark = stream.sparkSession
+    put = lambda batch, k: batch.write.mode("overwrite").parquet(f"{target}/batch={k:09d}")
+    run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    held = batches_in(spark, target)
+    paths = [f"{target}/{name}" for name in (held[-1:] if mode == "complete" else held)]
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 def visible_stream(stream: DataFrame, condition: Column) -> DataFrame:

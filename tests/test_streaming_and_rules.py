@@ -28,6 +28,24 @@ def test_page_parameters_are_checked(bad):
         P.page_parameters(**bad)
 
 
+def test_page_parameters_as_texts():
+    assert P.page_parameters() == (1, 20, "newest") and P.page_parameters(" 3 ", "100", "oldest") == (3, 100, "oldest") and P.page_parameters(usual_limit=24)[1] == 24
+    for bad in ({"page": "x"}, {"page": "-1"}, {"page": "1.5"}, {"limit": "１０"}, {"page": ""}):
+        with pytest.raises(ValueError):
+            P.page_parameters(**bad)
+
+
+def test_instants_and_ids_are_checked():
+    assert P.instant(None, "from") is None and P.instant("2026-09-05", "from") == datetime(2026, 9, 5) and P.instant(" 2026-09-05T12:00:00+05:30", "from") == datetime(2026, 9, 5, 6, 30)
+    assert P.posting_id("0123456789abcdefABCDEF00") == "0123456789abcdefabcdef00"
+    for bad in ("", "soon", "2026-13-01"):
+        with pytest.raises(ValueError):
+            P.instant(bad, "from")
+    for bad in ("", "12", "0123456789abcdefABCDEFgg"):
+        with pytest.raises(ValueError):
+            P.posting_id(bad)
+
+
 def test_reversed_range_and_unknown_type_are_errors():
     with pytest.raises(ValueError):
         P.posted_between(datetime(2026, 2, 1), datetime(2026, 1, 1))
@@ -51,6 +69,18 @@ def test_admission_equals_replay(spark, sf_dir):
     assert got == want
 
 
+def test_a_batch_reads_only_its_partitions(spark, tmp_path):
+    """Keys of many messages lie in few partitions; a batch with one key looks into one of them."""
+    rows = [(k, None, f"c{k % 30}", k, str(k), "x") for k in range(300)]
+    schema = spark.createDataFrame(rows, "id long, channel_id string, channel string, message_id long, received_at string, text string").schema
+    for name, part in (("one", rows), ("two", rows[:1] + [(999, None, "new", 1, "1", "x")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        stream = posts.message_stream(spark, f"{tmp_path}/in/*", "*.parquet", schema)
+        stored = posts.ingest(stream, f"{tmp_path}/out", f"{tmp_path}/log", parts=4)
+    assert stored.count() == 301 and sorted(posts.batches_in(spark, f"{tmp_path}/out")) == ["batch=0", "batch=1"]
+    assert spark.read.parquet(f"{tmp_path}/out").select("part").distinct().count() == 4
+
+
 def test_restarted_ingest_stores_nothing_twice(spark, tmp_path):
     """A second run over one more file adds only its new keys."""
     make = lambda rows: spark.createDataFrame(rows, "id long, channel_id string, channel string, message_id long, received_at string, text string")
