@@ -7,7 +7,8 @@ then formatted by a template whose control strings are escaped inside texts, rev
 
 Defined results: a null or missing text is an empty one, a null or missing role an empty role (of the paths
 of a layout one may be missing in the whole record); a record
-whose fingerprint no mapping knows yields no turn but is returned by ``unknown_layouts``; rows that repeat
+whose fingerprint no mapping knows, or that is no JSON (its fingerprint is then MALFORMED), yields no turn but is returned by ``unknown_layouts``; texts of any length are formatted whole; an empty table gives an
+empty one; columns beside conv_id, turn and record are not read and may have any name; rows that repeat
 are turns each; turns of equal number are ordered by role and text; a null conversation id is a conversation
 of its own. One conversation may hold any share of the rows: its turns stream through one task in order,
 and are never gathered.
@@ -119,6 +120,18 @@ def turns_of(record: dict, name: str) -> list[tuple[str, str]]:
     return out
 
 
+#: The fingerprint of a record that is no JSON.
+MALFORMED = "malformed"
+
+
+def parsed(raw: str | None) -> tuple[object, bool]:
+    """The record, and whether it is JSON. No text is an empty record."""
+    try:
+        return json.loads(raw) if raw else {}, True
+    except (ValueError, RecursionError):
+        return None, False
+
+
 TURNS = "conv_id long, turn long, item int, role string, text string, layout string, fingerprint string"
 
 
@@ -129,8 +142,8 @@ def canonical_turns(records: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for conv, turn, raw in zip(*(c.to_pylist() for c in batch.columns[:3])):
-                record = json.loads(raw) if raw else {}
-                name, mark = layout_of(frozenset(field_paths(record)))
+                record, fine = parsed(raw)
+                name, mark = layout_of(frozenset(field_paths(record))) if fine else (None, MALFORMED)
                 found = turns_of(record, name) if name else [(None, None)]
                 rows += [(conv, turn, k, role, text, name, mark) for k, (role, text) in enumerate(found)]
             kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 4]

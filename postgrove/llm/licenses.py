@@ -2,16 +2,19 @@
 
 A notice with at most k errors (inserted, deleted or replaced characters) holds at least one of the k + 1
 parts that the notice splits into unchanged. All parts of all notices go into one automaton; where a
-part occurs, the stretch around it is searched with the ``regex`` library's bounded-error matching, which
-verifies the edits and gives the span. Beside these, exact phrases ("places") are counted by words.
+part occurs, the window around it, as long as the notice and its errors on both sides, is searched with the ``regex`` library's bounded-error
+matching, which verifies the edits and gives the span. Of overlapping spans of one notice the one with the fewest errors stays, then the first; what it leaves free of another's window
+is searched again. So the work grows with the number of parts that occur, however often they repeat. Beside these, exact phrases ("places") are counted by words.
 
 Texts are compared as words: A-Z in lower case, every other ASCII character that is no digit or letter a gap.
 Spans are of words. Defined results: a null text counts as an empty one and has no words; repeated rows
-each get their own result; a stretch is judged once and its result remembered while the memory lasts.
+each get their own result; texts of any length are searched whole; an empty table gives an empty one; columns beside doc_id and the text are not read and may have any name.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -83,38 +86,60 @@ class Searcher:
         for part, where in seeds.items():
             self.automaton.add_word(part, (len(part), where))
         self.automaton.make_automaton()
-        self.verify = lru_cache(100_000)(self._verify)
+        self.best = lru_cache(100_000)(self._best)  # windows are short and repeat from text to text
 
-    def _verify(self, k: int, stretch: str) -> list[tuple[int, int, int]]:
-        """Non-overlapping (start, end, errors) of notice k in ``stretch``. A search gives the best match of all, wherever it stands; what is left on both sides of it is searched again."""
+    def _best(self, k: int, window: str) -> tuple[int, int, int] | None:
+        """(errors, start, end) of the best match of notice k in ``window``."""
         _, notice, errors, pattern = self.notices[k]
-        out, left = [], [(0, len(stretch))]
-        while left:
-            begin, end = left.pop()
-            m = pattern.search(stretch, begin, end) if end - begin >= len(notice) - errors else None
-            if m:
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                left += [(begin, m.start()), (m.end(), end)]
-        return sorted(out)
+        m = pattern.search(window) if len(window) >= len(notice) - errors else None
+        return (sum(m.fuzzy_counts), m.start(), m.end()) if m else None
+
+    def spans(self, k: int, text: str, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Non-overlapping (start, end, errors) of notice k, of those that its windows hold: the best first, then the first."""
+        waiting: list[tuple[int, int, int, int, int]] = []  # errors, start, end, and the window that was searched
+
+        def search(a: int, b: int) -> None:
+            found = self.best(k, text[a:b])
+            if found:
+                heapq.heappush(waiting, (found[0], a + found[1], a + found[2], a, b))
+
+        for a, b in sorted(windows):
+            search(a, b)
+        taken: list[tuple[int, int, int]] = []  # by start
+        while waiting:
+            errors, start, end, a, b = heapq.heappop(waiting)
+            at = bisect_left(taken, (start, start, 0))
+            near = taken[max(0, at - 1) : at + 1]
+            if all(end <= x or y <= start for x, y, _ in near):
+                taken.insert(at, (start, end, errors))
+                continue
+            free = a
+            for x, y, _ in self._within(taken, a, b):
+                if x > free:
+                    search(free, x)
+                free = max(free, y)
+            if free > a and free < b:
+                search(free, b)
+        return taken
+
+    @staticmethod
+    def _within(taken: list[tuple[int, int, int]], a: int, b: int) -> list[tuple[int, int, int]]:
+        """The spans that overlap [a, b)."""
+        first = max(0, bisect_left(taken, (a, a, 0)) - 1)
+        return [t for t in taken[first : bisect_left(taken, (b, b, 0))] if t[1] > a]
 
     def find(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, label, score) of all notices in ``text``, characters, by start."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for last, (size, where) in self.automaton.iter(text):
             for k, offset in where:
                 _, notice, errors, _ = self.notices[k]
-                begin = max(0, last + 1 - size - offset - errors)
-                end = min(len(text), last + 1 - size - offset + len(notice) + errors)
-                held = windows.setdefault(k, [])
-                if held and begin <= held[-1][1]:
-                    held[-1] = [min(begin, held[-1][0]), max(end, held[-1][1]), held[-1][2] + 1]
-                else:
-                    held.append([begin, end, 1])
+                begin = last + 1 - size - offset
+                windows.setdefault(k, set()).add((max(0, begin - errors), min(len(text), begin + len(notice) + errors)))
         out = []
         for k, held in windows.items():
             label, notice, _, _ = self.notices[k]
-            for begin, end, _ in held:
-                out += [(begin + a, begin + b, label, 1 - e / len(notice)) for a, b, e in self.verify(k, text[begin:end])]
+            out += [(a, b, label, 1 - e / len(notice)) for a, b, e in self.spans(k, text, held)]
         return sorted(out)
 
 

@@ -7,7 +7,8 @@ bytes; its granule is silent and 576 payload bytes stand where the standard lets
 followed by their CRC-32. The stream opens with an ID3v2 tag and an Info table.
 
 Defined results: null media gives a null index; bytes without any frame give zero frames and no duration;
-broken frames are skipped and counted; a null text counts as empty, and an empty one still fills a frame.
+broken frames are skipped and counted; a null text counts as empty, and an empty one still fills a frame; texts of any length are stored whole, a batch in parts of bounded size;
+an empty table gives an empty one; ``store_payload`` reads doc_id and the text only, ``index_media`` keeps all columns, of which one called like its result gives way.
 """
 
 from __future__ import annotations
@@ -214,7 +215,8 @@ def in_parts(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Itera
 
 
 def index_media(df: DataFrame, column: str = "media", into: str = "media_index") -> DataFrame:
-    """``df`` with ``into``: what ``column`` holds, frame offsets included."""
+    """``df`` with ``into``: what ``column`` holds, frame offsets included. A column of the input that is called so gives way."""
+    df = df.drop(into)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         headers, sums = {}, {}

@@ -10,7 +10,8 @@ segments are the best by its scores, as the library finds them when told that th
 library does with the file as it is, gives other ids for some texts; decoding is the same.)
 
 Defined results: a null text counts as an empty one and has no pieces; repeated rows get equal results; a text that holds the
-mark U+2581 itself decodes to a space there, and its ``round_trip`` is false.
+mark U+2581 itself decodes to a space there, and its ``round_trip`` is false; texts of any length are encoded whole; an empty table gives an empty one; columns beside doc_id and text are not read
+and may have any name.
 """
 
 from __future__ import annotations
