@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from postgrove.functions.skills import skill_list
-from postgrove.functions.text import grounded, list_clean, trimmed
+from postgrove.functions.text import list_clean, squeezed, trimmed
+from postgrove.functions.urls import let
 
 # How many entries a list may have, how long one may be, and the bounds of years.
 MOST_SKILLS, MOST_ROLES, MOST_PLACES, LONGEST = 25, 5, 5, 60
@@ -14,8 +15,13 @@ MOST_YEARS, FIRST_YEAR, LAST_YEAR = 50, 1950, 2100
 
 def grounded_list(values: Column, text: Column, most: int) -> Column:
     """Entries that are short and stand in the text, each once in any case, the first ``most``."""
-    fit = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), trimmed), lambda v: (v != "") & (F.length(v) <= LONGEST) & grounded(v, text))
-    return list_clean(fit, most)
+    given = F.transform(F.coalesce(values, F.array().cast("array<string>")), trimmed)
+
+    def fit(hay: Column) -> Column:
+        short = F.filter(given, lambda v: (v != "") & (F.length(v) <= LONGEST))
+        return F.filter(short, lambda v: (squeezed(v) != "") & hay.contains(squeezed(v)))
+
+    return list_clean(let(squeezed(text), fit), most)
 
 
 def years_of_experience(value: Column) -> Column:
