@@ -68,11 +68,22 @@ def plain_words(pattern: str) -> tuple[list[str], str]:
     return words, "|".join(p for p in bare if not any(w in p for w in words))
 
 
+def by_first_letter(pattern: str) -> str:
+    """The same alternatives under their first letters, with or without a word border before: a place in a text is then tried for a few letters instead of every alternative."""
+    groups: dict[str, list[str]] = {}
+    for part in alternatives(pattern):
+        border = r"\b" if part.startswith(r"\b") else ""
+        letter, rest = part[len(border) : len(border) + 1], part[len(border) + 1 :]
+        plain = letter.isalpha() and rest[:1] not in ("?", "*", "+", "{")
+        groups.setdefault(border + letter if plain else part, []).append(rest if plain else "")
+    return "|".join(head + (f"(?:{'|'.join(rests)})" if any(rests) else "") for head, rests in groups.items())
+
+
 def says(text: Column, pattern: str) -> Column:
     """The pattern stands in ``text``, in any case: plain texts are looked for one by one, then what else is left as a regular expression. Letters beyond ASCII are no capitals of others."""
     words, rest = plain_words(pattern)
     low = F.lower(F.regexp_replace(text, "[\u0130\u212a]", "\u0001"))
-    hit = lambda x: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: x.contains(w)) | (x.rlike(ascii_bounds(rest)) if rest else F.lit(False))
+    hit = lambda x: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: x.contains(w)) | (x.rlike(ascii_bounds(by_first_letter(rest))) if rest else F.lit(False))
     return F.get(F.transform(F.array(low), hit), F.lit(0))
 
 
