@@ -1,11 +1,12 @@
-"""The queries of the ten operators and their DuckDB SQL."""
+"""The queries of the thirteen operators and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from postgrove.llm import ann, chat, licenses, media, near_dedup, packing, secrets, sentencepiece, substrings, toxicity
+from postgrove.llm import ann, chat, licenses, media, near_dedup, packing, secrets, sentencepiece, substrings, toxicity, word_bpe
 
 _QUERIES = {
     "op1_nearest_neighbours": ann.op1_nearest_neighbours,
+    "op13_word_bpe": word_bpe.op13_word_bpe,
     "op7_sentencepiece": sentencepiece.op7_sentencepiece,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op10_substring_dedup": substrings.op10_substring_dedup,
