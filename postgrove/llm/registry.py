@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from postgrove.llm import ann, chat, licenses, media, near_dedup, packing, secrets, sentencepiece, substrings, toxicity, word_bpe
+from postgrove.llm import ann, chat, licenses, media, near_dedup, packing, periodic, secrets, sentencepiece, substrings, toxicity, word_bpe
 
 _QUERIES = {
     "op1_nearest_neighbours": ann.op1_nearest_neighbours,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_word_bpe": word_bpe.op13_word_bpe,
     "op7_sentencepiece": sentencepiece.op7_sentencepiece,
     "op2_near_dedup": near_dedup.op2_near_dedup,
