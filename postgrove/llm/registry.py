@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from postgrove.llm import ann, chat, licenses, media, near_dedup, packing, periodic, secrets, sentencepiece, substrings, toxicity, word_bpe
+from postgrove.llm import ann, chat, collocations, licenses, media, near_dedup, packing, periodic, secrets, sentencepiece, substrings, toxicity, word_bpe
 
 _QUERIES = {
     "op1_nearest_neighbours": ann.op1_nearest_neighbours,
+    "op11_collocations": collocations.op11_collocations,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_word_bpe": word_bpe.op13_word_bpe,
     "op7_sentencepiece": sentencepiece.op7_sentencepiece,
@@ -20,6 +21,7 @@ _QUERIES = {
 }
 _SQL = {
     "op10_substring_dedup": substrings.SQL,
+    "op11_collocations": collocations.SQL,
     "op6_chat_formatting": chat.SQL,
     "op9_secret_scan": secrets.SQL,
 }
