@@ -7,7 +7,7 @@ then formatted by a template whose control strings are escaped inside texts, rev
 
 Defined results: a null or missing text is an empty one, a null or missing role an empty role (of the paths
 of a layout one may be missing in the whole record); a record
-whose fingerprint no mapping knows, or that is no JSON (its fingerprint is then MALFORMED), yields no turn but is returned by ``unknown_layouts``; texts of any length are formatted whole; an empty table gives an
+whose fingerprint no mapping knows, or that is no JSON or nested deeper than its reader goes (its fingerprint is then MALFORMED), yields no turn but is returned by ``unknown_layouts``; an escaped surrogate that stands alone counts as U+FFFD; texts of any length are formatted whole; an empty table gives an
 empty one; columns beside conv_id, turn and record are not read and may have any name; rows that repeat
 are turns each; turns of equal number are ordered by role and text; a null conversation id is a conversation
 of its own. One conversation may hold any share of the rows: its turns stream through one task in order,
@@ -32,13 +32,18 @@ def kind_of(value: object) -> str:
     return {dict: "object", list: "list", str: "text", bool: "flag", int: "number", float: "number"}.get(type(value), "null")
 
 
-def field_paths(value: object, at: str = "") -> set[str]:
-    """The nested paths of a JSON value with the kind of each leaf; the elements of a list share one path."""
-    if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{at}.{k}") for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{at}[]") for v in value))
-    return {f"{at}:{kind_of(value)}"}
+def field_paths(value: object) -> set[str]:
+    """The nested paths of a JSON value with the kind of each leaf; the elements of a list share one path. Values may be nested to any depth."""
+    found, open_ = set(), [("", value)]
+    while open_:
+        at, value = open_.pop()
+        if isinstance(value, dict) and value:
+            open_ += [(f"{at}.{k}", v) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            open_ += [(f"{at}[]", v) for v in value]
+        else:
+            found.add(f"{at}:{kind_of(value)}")
+    return found
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -124,10 +129,18 @@ def turns_of(record: dict, name: str) -> list[tuple[str, str]]:
 MALFORMED = "malformed"
 
 
+#: An escaped surrogate; two that belong together are one character for the JSON reader.
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
 def parsed(raw: str | None) -> tuple[object, bool]:
-    """The record, and whether it is JSON. No text is an empty record."""
+    """The record, and whether it is JSON. No text is an empty record; a surrogate that stands alone becomes U+FFFD."""
     try:
-        return json.loads(raw) if raw else {}, True
+        record = json.loads(raw) if raw else {}
+        if raw and _SURROGATE.search(raw):
+            said = json.dumps(record, ensure_ascii=False)
+            record = json.loads(said.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
+        return record, True
     except (ValueError, RecursionError):
         return None, False
 
