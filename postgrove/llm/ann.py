@@ -2,17 +2,18 @@
 
 Vectors that are equal stand in the graph once, with the smallest ids that hold them (``k`` + 1 of them, since a
 query needs ``k`` beside itself). Shards are dealt by a hash of the id and hold a bounded number of vectors, so
-building needs one pass and its cost grows with the input. Queries go in parts to every shard; each
+building needs one pass and its cost grows with the input. Queries stream past every shard; each
 returns its ``k`` best with exact distances, and the best of all shards remain.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components take no part;
-vectors are compared with those of equal length only; rows that repeat an id with one vector count once; with fewer
+vectors are compared as doubles and with those of equal length only; queries without an id take no part; rows that repeat an id with one vector count once; with fewer
 candidates than ``k``, all are returned; an empty table or one without usable vectors gives no rows; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from postgrove.llm.common import read_table, stored
 
 ROWS_PER_SHARD = 4096
 LINKS, WIDTH_BUILD, WIDTH_SEARCH = 12, 48, 64
+#: Tasks that a graph goes to at most.
+COPIES = 4
 
 
 class Graph:
@@ -139,7 +142,7 @@ GRAPH = "dim int, shard int, vectors binary, base binary, layers array<binary>,
 
 def index(vectors: DataFrame, k: int = 10, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """One row per shard of ``vectors`` (vec_id, embedding) with its graph; every usable vector is in it."""
-    held = vectors.where(usable()).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).distinct()
+    held = vectors.where(usable()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).distinct()
     ranked = held.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     groups = stored(ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     shards = max(1, -(-groups.count() // rows_per_shard))
@@ -151,7 +154,7 @@ def index(vectors: DataFrame, k: int = 10, rows_per_shard: int = ROWS_PER_SHARD)
         x = np.array(table.column("embedding").combine_chunks().values, dtype=np.float64).reshape(len(ids), -1)[order]
         graph = build(x, np.array([ids[i][0] for i in order]))
         row = {
-            "dim": table.column("dim")[0].as_py(), "shard": table.column("shard")[0].as_py(), "vectors": x.astype("<f4").tobytes(), "base": graph.base.tobytes(),
+            "dim": table.column("dim")[0].as_py(), "shard": table.column("shard")[0].as_py(), "vectors": packed(x), "base": graph.base.tobytes(),
             "layers": [nodes.tobytes() for nodes, _ in graph.upper], "links": [links.tobytes() for _, links in graph.upper], "entry": graph.entry, "ids": [ids[i] for i in order],
         }
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int32(), pa.list_(pa.list_(pa.int64()))]
@@ -161,36 +164,59 @@ def index(vectors: DataFrame, k: int = 10, rows_per_shard: int = ROWS_PER_SHARD)
     return stored(dealt.repartition(3 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, GRAPH), "graphs")
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Vectors as bytes, of four a component where these hold them exactly and of eight where not."""
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    return (short if (short == x).all() else x.astype("<f8")).tobytes()
+
+
+def lengths(gaps: np.ndarray) -> np.ndarray:
+    """The Euclidean length of each row, also where squares would leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt((gaps**2).sum(axis=1))
+        odd = ~np.isfinite(out) | (out < 1e-150)
+        if odd.any():
+            most = np.abs(gaps[odd]).max(axis=1, keepdims=True)
+            most[most == 0] = 1
+            out[odd] = most[:, 0] * np.sqrt(((gaps[odd] / most) ** 2).sum(axis=1))
+    return out
+
+
 def nearest(queries: DataFrame, graphs: DataFrame, k: int = 10, width: int = WIDTH_SEARCH, block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest to each of ``queries`` (query_id, embedding), itself left out.
 
-    Queries are dealt into parts of about ``block`` and each part goes to every shard of its length; part and shard
-    meet in a group of their own, so a task holds one graph and one part at a time and no graph is broadcast."""
-    asked = queries.where(usable()).select("query_id", F.col("embedding").cast("array<float>").alias("embedding")).distinct()
-    parts = max(1, -(-asked.count() // block))
-    shards = graphs.select(F.col("dim").alias("of_dim"), F.col("shard").alias("of_shard"))
-    groups = 3 * parts * max(1, shards.count())  # more than there are, so that few meet in a task
-    keys, of = ("dim", "shard", "part"), ("of_dim", "of_shard", "of_part")
-    dealt = asked.select(F.size("embedding").alias("of_dim"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("of_part"), "query_id", "embedding").join(shards, "of_dim").repartition(groups, *of)
-    held = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(groups, *keys)
-
-    def search(part: pa.Table, shard: pa.Table) -> pa.Table:
-        out, names, kinds = [], ("query_id", "vec_id", "score"), (pa.int64(), pa.int64(), pa.float64())
-        if part.num_rows and shard.num_rows:
-            row = {name: shard.column(name)[0] for name in shard.column_names}
-            dim, ids = row["dim"].as_py(), row["ids"].as_py()
-            x = np.frombuffer(row["vectors"].as_py(), dtype="<f4").reshape(-1, dim).astype(np.float64)
-            layers = [(np.frombuffer(a, dtype=np.int32), np.frombuffer(b, dtype=np.int32).reshape(-1, LINKS)) for a, b in zip(row["layers"].as_py(), row["links"].as_py())]
-            graph = Graph(x, np.frombuffer(row["base"].as_py(), dtype=np.int32).reshape(-1, 2 * LINKS), layers, row["entry"].as_py())
-            vectors = np.concatenate([np.asarray(c.values, dtype=np.float64)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in part.column("embedding").chunks]).reshape(-1, dim)
-            for query, own in zip(vectors, part.column("query_id").to_pylist()):
-                found = [(float(np.sqrt(((x[node] - query) ** 2).sum())), v) for _, node in graph.search(query, width) for v in ids[node] if v != own]
+    Every query goes to every shard of its length. A task gets a graph once, ahead of the queries, which then stream past it; from ``block`` queries on
+    a graph goes to several tasks, at most ``COPIES``, so what is exchanged of graphs grows with the index alone. No graph is broadcast."""
+    asked = queries.where(usable() & F.col("query_id").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).distinct()
+    parts = max(1, min(COPIES, -(-asked.count() // block)))
+    shards = graphs.select("dim", "shard")
+    tasks = 3 * parts * max(1, shards.count())  # more than there are groups, so that few meet in a task
+    dealt = asked.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), "query_id", "embedding").join(shards, "dim")
+    held = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("dim", "shard", "part", F.struct("vectors", "base", "layers", "links", "entry", "ids").alias("graph"))
+    met = held.unionByName(dealt, allowMissingColumns=True).repartition(tasks, "dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", F.col("graph").isNull())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, ids, names, kinds = None, [], ("query_id", "vec_id", "score"), (pa.int64(), pa.int64(), pa.float64())
+        for batch in batches:
+            out = []
+            for dim, loaded, own, vector in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("dim", "graph", "query_id", "embedding"))):
+                if loaded.is_valid:
+                    raw, base, layers, links, entry, ids = (loaded[c] for c in ("vectors", "base", "layers", "links", "entry", "ids"))
+                    raw, ids = raw.as_py(), ids.as_py()
+                    x = np.frombuffer(raw, dtype="<f4" if len(raw) == 4 * dim.as_py() * len(ids) else "<f8").reshape(-1, dim.as_py()).astype(np.float64)
+                    upper = [(np.frombuffer(a, dtype=np.int32), np.frombuffer(b, dtype=np.int32).reshape(-1, LINKS)) for a, b in zip(layers.as_py(), links.as_py())]
+                    graph = Graph(x, np.frombuffer(base.as_py(), dtype=np.int32).reshape(-1, 2 * LINKS), upper, entry.as_py())
+                    continue
+                query, own = vector.values.to_numpy(), own.as_py()
+                nodes = [node for _, node in graph.search(query, width)]
+                found = [(d, v) for node, d in zip(nodes, lengths(graph.vectors[nodes] - query).tolist()) for v in ids[node] if v != own]
                 out += [(own, v, d) for d, v in heapq.nsmallest(k, found)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), kinds)], names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), kinds)], names)
 
-    met = dealt.groupBy(*of).cogroup(held.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    hits = met.mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
