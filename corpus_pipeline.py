@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postgrove.llm import near_dedup, packing, secrets, substrings, toxicity
-from postgrove.llm.common import read_table, stored
+from postgrove.llm.common import quoted, read_table, stored
 
 #: No SQL can express the classifier, so run() is tested against a brute-force version.
 ORACLE_SQL = None
@@ -16,23 +16,23 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labels, rejects go."""
-    return toxicity.classify(docs, read_table(spark, sf_dir, "labels")).where("NOT toxic").select(*docs.columns)
+    return toxicity.classify(docs, read_table(spark, sf_dir, "labels")).where("NOT toxic").select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at 0.8 over shingles of five words, the document with the smallest id stays."""
     gone = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words and more that stand earlier are cut; every document stays."""
-    return substrings.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return substrings.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*map(quoted, docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live credentials are replaced by a marker; widely copied examples and every document stay."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*map(quoted, docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postgrove.session import read_table, shared_folder
 
-__all__ = ["Scratch", "read_table", "shared_folder", "stored"]
+__all__ = ["Scratch", "numbered", "quoted", "read_table", "shared_folder", "stored"]
+
+
+def quoted(name: str) -> str:
+    """A column's name as ``select`` and ``col`` take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1 and so on, as functions over Arrow batches cannot be given every name."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
 def stored(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:

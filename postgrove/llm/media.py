@@ -22,8 +22,9 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from postgrove.llm.common import read_table, stored
+from postgrove.llm.common import numbered, read_table, stored
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by bitrate index, and Hz by rate index.
 KBITS = {
@@ -217,16 +218,16 @@ def in_parts(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Itera
 def index_media(df: DataFrame, column: str = "media", into: str = "media_index") -> DataFrame:
     """``df`` with ``into``: what ``column`` holds, frame offsets included. A column of the input that is called so gives way."""
     df = df.drop(into)
+    at, given = df.columns.index(column), StructType([*df.schema.fields, StructField(into, StructType.fromDDL(f"x {INDEX}")["x"].dataType)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         headers, sums = {}, {}
         for batch in batches:
-            for part in in_parts(batch, column):
-                media = part.column(part.schema.get_field_index(column)).to_pylist()
-                found = [None if x is None else Stream(x, headers, sums).summary() for x in media]
-                yield pa.record_batch([*part.columns, pa.array(found, INDEX_ARROW)], [*part.schema.names, into])
+            for part in in_parts(batch, f"c{at}"):
+                found = [None if x is None else Stream(x, headers, sums).summary() for x in part.column(at).to_pylist()]
+                yield pa.record_batch([*part.columns, pa.array(found, INDEX_ARROW)], [f.name for f in given])
 
-    return df.mapInArrow(read, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{into}` {INDEX}")
+    return numbered(df).mapInArrow(read, given)
 
 
 def payload_of(text: bytes) -> bytes:

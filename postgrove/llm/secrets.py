@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postgrove.llm.common import read_table, stored
+from postgrove.llm.common import quoted, read_table, stored
 
 # The kinds with their patterns, in the order used to break ties of start.
 KINDS = ("assign", "access", "hex", "opaque")
@@ -100,7 +100,7 @@ def annotate(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     """
     body = F.coalesce(F.col(text), F.lit(""))
     scanned = stored(
-        docs.select(*[c for c in docs.columns if c != text], F.monotonically_increasing_id().alias("_pg_row"), candidates(body).alias("_pg_found")),
+        docs.select(*[quoted(c) for c in docs.columns if c != text], F.monotonically_increasing_id().alias("_pg_row"), candidates(body).alias("_pg_found")),
         "secret-candidates",
     )
     each = scanned.where(F.size("_pg_found") > 0).select(

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from postgrove.llm.common import read_table, stored
+from postgrove.llm.common import quoted, read_table, stored
 
 WINDOW = 20
 ROUNDS, BORDER = 2, 6
@@ -144,7 +144,7 @@ def slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` as chunks of about ``chunk_bytes``, compressed and written once: every later pass sees the same chunks. All columns but the text go along as they are, the id as ``_pg_id``."""
-    along_of = F.struct(F.col("doc_id").alias("_pg_id"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
+    along_of = F.struct(F.col("doc_id").alias("_pg_id"), *[F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, made = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3), 0

@@ -28,8 +28,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from postgrove.llm.common import Scratch, read_table
+from postgrove.llm.common import Scratch, numbered, read_table
 
 WORD = re.compile(r"[^\W\d_]+")
 WIDTH = 1 << 18
@@ -234,6 +235,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
     docs = docs.drop(*names, "toxic")
     if chain is None:
         return docs.select("*", *[F.lit(0.0).alias(n) for n in names], F.lit(False).alias("toxic"))
+    given = StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in names), StructField("toxic", BooleanType())])
+    at_text = docs.columns.index("text")
     # A model has WIDTH weights at most, whatever the corpus.
     used = np.flatnonzero(np.any([m.weights for m in chain], axis=0))
     send = docs.sparkSession.sparkContext.broadcast((used, np.column_stack([m.weights[used] for m in chain]), [(m.slopes, m.bias) for m in chain]))
@@ -245,7 +248,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
         known: dict[str, int] = {}
         for batch in batches:
             evidence = np.zeros((batch.num_rows, len(rest)))
-            for i, value in enumerate(batch.column(batch.schema.get_field_index("text"))):
+            for i, value in enumerate(batch.column(at_text)):
                 columns = set()
                 for t in tokens_of(value.as_py() or ""):
                     c = known.get(t)
@@ -259,10 +262,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
             earlier = np.zeros((batch.num_rows, 0))
             for k, (slopes, bias) in enumerate(rest):
                 earlier = np.column_stack([earlier, Linear(weights[:, k], slopes, bias).predict(evidence[:, k], earlier)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(earlier[:, k]) for k in range(len(CHAIN))], pa.array(earlier[:, -1] >= threshold)], [*batch.schema.names, *names, "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(earlier[:, k]) for k in range(len(CHAIN))], pa.array(earlier[:, -1] >= threshold)], [f.name for f in given])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{kept}, {', '.join(f'{n} double' for n in names)}, toxic boolean")
+    return numbered(docs).mapInArrow(score, given)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
