@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postgrove.plans.registry import query
 from postgrove.session import read_table, shared_folder
-from postgrove.streaming import posts as P
+from postgrove.streaming import admission as A, posts as P
 
 
 def _folder(spark, name: str) -> str:
@@ -48,11 +48,26 @@ def stream_daily_counts(spark, sf_dir):
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "key", "n")
 
 
+def _calls(spark, sf_dir):
+    """Events as calls of their users, which take some hours each; some are refused and ask for a pause."""
+    e = read_table(spark, sf_dir, "events")
+    hours = lambda x: (x * 3_600_000).cast("long")
+    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), hours(F.col("event_id") % 11 + 1).alias("took"), F.when(F.col("event_id") % 13 == 0, hours(F.lit(18))).alias("retry_after"))
+
+
+@query("stream_turns")
+def stream_turns(spark, sf_dir):
+    """ST8: calls of a user wait for their turn, 2 a day and one at a time, and refused ones bring a pause of 18 hours. Each start depends on those before it, so SQL has no twin; a test replays it."""
+    calls = A.call_stream(spark, _calls(spark, sf_dir), _folder(spark, "calls"))
+    return P.run_to_files(A.turns(calls, 2, 86_400_000), _folder(spark, "turns"), _folder(spark, "turns-log")).withColumn("waited", F.col("started") - F.col("arrived"))
+
+
 @query("stream_admission")
 def stream_admission(spark, sf_dir):
-    """ST8: calls of a user are admitted up to 3 an hour. Each verdict depends on those before it, so SQL has no twin; a test replays it."""
-    calls = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
-    return P.run_to_files(P.admission(calls, "key", 3, 3600), _folder(spark, "admission"), _folder(spark, "admission-log"))
+    """ST8: calls of a user are admitted up to 3 an hour and refused beyond. Each verdict depends on those before it, so SQL has no twin; a test replays it."""
+    calls = A.call_stream(spark, _calls(spark, sf_dir).withColumns({"took": F.lit(0).cast("long"), "retry_after": F.lit(None).cast("long")}), _folder(spark, "calls"))
+    said = P.run_to_files(A.turns(calls, 3, 3_600_000, wait=False), _folder(spark, "admission"), _folder(spark, "admission-log"))
+    return said.select("key", "id", F.col("started").isNotNull().alias("admitted"))
 
 
 @query("broadcast_feed", "SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'imported' ELSE 'main' END AS feed, CASE WHEN event_id % 2 = 0 THEN 'created' ELSE 'updated' END AS event FROM events")

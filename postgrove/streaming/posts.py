@@ -1,4 +1,4 @@
-"""Structured Streaming over files of messages (SRC3, SRC5, SNK1, SNK6, ST8, ST10). The rules are those of the batch operators.
+"""Structured Streaming over files of messages (SRC3, SRC5, SNK1, SNK6, ST10). The rules are those of the batch operators.
 
 Deduplication is unbounded, as keys stay unique for ever, so it is an anti-join with the stored keys and not a window of state. What is stored is partitioned by a
 hash of the key, and a batch reads the key column of its own partitions only. Each batch is
@@ -6,11 +6,7 @@ written to a folder named by its number and overwritten if it runs again, so a r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from postgrove.operators.state import admitted, message_key
@@ -81,25 +77,6 @@ def broadcast_rows(changes: DataFrame, dedicated: list[str]) -> DataFrame:
     return changes.withColumn("feed", F.coalesce(feed, F.lit("main"))).withColumn("event", F.when(F.col("is_new"), "created").otherwise("updated"))
 
 
-def admission(calls: DataFrame, key: str, most: int = 10, seconds: int = 60) -> DataFrame:
-    """ST8: of each key's calls (id, second), in order of arrival, those that start at once: at most ``most`` within any ``seconds``. The state of a key is
-    the starts that still count, ``most`` at the most."""
-
-    def judge(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        starts = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["second", "id"])
-        said = []
-        for at in rows["second"].tolist():
-            starts = [s for s in starts if s > at - seconds]
-            said.append(len(starts) < most)
-            if said[-1]:
-                starts.append(at)
-        state.update((starts,))
-        yield pd.DataFrame({"key": of[0], "id": rows["id"].to_numpy(), "admitted": said})
-
-    return calls.groupBy(key).applyInPandasWithState(judge, "key long, id long, admitted boolean", "starts array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_to_files(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source has now, each batch into a folder of its own that a rerun overwrites; gives all batches, or in complete mode the last, which holds everything."""
     spark = stream.sparkSession

@@ -14,8 +14,8 @@ def test_query_equals_sql(name, spark, sf_dir, same_as_sql):
 
 
 def test_what_has_no_sql_has_a_test_of_its_own():
-    """The admission of calls, whose verdicts depend on each other, is replayed in test_streaming_and_rules."""
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"stream_admission"}
+    """Calls whose starts depend on each other are replayed in test_admission and test_streaming_and_rules."""
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"stream_admission", "stream_turns"}
 
 
 def test_entry(spark):
