@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from postgrove.streaming.posts import use_rocksdb
+
 #: What a call is: when it came, how long it runs and what pause it brings, in milliseconds.
 CALL = "id long, at timestamp, took long, retry_after long"
 
@@ -91,7 +92,7 @@ class Turns(StatefulProcessor):
 def turns(calls: DataFrame, most: int = 10, window: int = 60_000, concurrency: int = 1, wait: bool = True, late: str = "10 minutes", step: int | None = None) -> DataFrame:
     """A stream of calls (key, id, at, took, retry_after) as (key, id, arrived, started), times in milliseconds. ``wait``: if not, a call that
     cannot start at once does not start at all (``started`` is null) and counts for nothing."""
-    calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    use_rocksdb(calls.sparkSession)
     rows = calls.withWatermark("at", late).select("key", "id", F.unix_millis("at").alias("arrived"), "took", "retry_after", "at")
     shape = StructType([StructField("key", calls.schema["key"].dataType), *(StructField(c, LongType()) for c in ("id", "arrived", "started"))])
     processor = Turns(most, window, concurrency, step or window, wait)

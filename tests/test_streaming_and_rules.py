@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import statistics
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from postgrove.operators import predicates as P, state as S
 from postgrove.operators.feed import FeedQuery
@@ -69,16 +72,47 @@ def test_admission_equals_replay(spark, sf_dir):
     assert got == want
 
 
-def test_a_batch_reads_only_its_partitions(spark, tmp_path):
-    """Keys of many messages lie in few partitions; a batch with one key looks into one of them."""
-    rows = [(k, None, f"c{k % 30}", k, str(k), "x") for k in range(300)]
-    schema = spark.createDataFrame(rows, "id long, channel_id string, channel string, message_id long, received_at string, text string").schema
-    for name, part in (("one", rows), ("two", rows[:1] + [(999, None, "new", 1, "1", "x")])):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
-        stream = posts.message_stream(spark, f"{tmp_path}/in/*", "*.parquet", schema)
-        stored = posts.ingest(stream, f"{tmp_path}/out", f"{tmp_path}/log", parts=4)
-    assert stored.count() == 301 and sorted(posts.batches_in(spark, f"{tmp_path}/out")) == ["batch=0", "batch=1"]
-    assert spark.read.parquet(f"{tmp_path}/out").select("part").distinct().count() == 4
+def test_what_a_batch_reads_does_not_grow_with_history(spark, tmp_path):
+    """Fifty batches of a hundred messages, ten of them old ones: each looks up and writes its own keys only."""
+    make = lambda ids: spark.createDataFrame([(k, None, f"c{k % 30}", k, str(k), "x" * 50) for k in ids], "id long, channel_id string, channel string, message_id long, received_at string, text string").coalesce(1)
+    for n in range(50):
+        make([*range(90 * n, 90 * n + 90), *(k * 7 % max(1, 90 * n) for k in range(10))]).write.parquet(f"{tmp_path}/in/{n:02d}")
+    schema = make([]).schema
+    progress = []
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event): ...
+        def onQueryTerminated(self, event): ...
+        def onQueryIdle(self, event): ...
+        def onQueryProgress(self, event):
+            progress.append(event.progress)
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        stored = posts.ingest(posts.message_stream(spark, f"{tmp_path}/in/*", "*.parquet", schema), f"{tmp_path}/out", f"{tmp_path}/log")
+        assert stored.count() == stored.select("message_key").distinct().count() == 4500
+        for _ in range(100):
+            if len(progress) >= 50:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    states = [p.stateOperators[0] for p in progress if p.stateOperators]
+    for metric in ("rocksdbGetCount", "rocksdbTotalBytesRead", "rocksdbTotalBytesWritten"):
+        each = [int(x.customMetrics[metric]) for x in states]
+        assert statistics.median(each[-10:]) <= 1.1 * statistics.median(each[5:15])
+    assert states[-1].numRowsTotal == 4500 and len(states) >= 50 and not any(int(x.customMetrics["rocksdbNumReplayChangelogFiles"]) for x in states)
+
+
+def test_of_a_batch_the_earliest_message_is_stored(spark, tmp_path):
+    """History goes before live messages, and equal times fall to the id."""
+    shape = "id long, channel_id string, channel string, message_id long, received_at string, text string"
+    spark.createDataFrame([(5, None, "a", 1, "2", "x"), (4, None, "a", 1, "2", "y"), (3, None, "a", 1, "3", "z"), (6, None, None, 1, "1", "x"), (7, None, "b", 2, "1", "x")], shape).coalesce(1).write.parquet(f"{tmp_path}/in/one")
+    stream = posts.message_stream(spark, f"{tmp_path}/in/*", "*.parquet", spark.createDataFrame([], shape).schema)
+    history = spark.createDataFrame([(9, None, "B", 2, "8", "old")], shape)
+    got = {(r["message_key"], r["id"]) for r in posts.ingest(stream, f"{tmp_path}/out", f"{tmp_path}/log", history).collect()}
+    assert got == {("a:1", 4), ("b:2", 9), ("1", 6)}
 
 
 def test_restarted_ingest_stores_nothing_twice(spark, tmp_path):
