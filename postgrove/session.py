@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
     own = tempfile.mkdtemp(prefix="postgrove-checkpoints-")
     context.setCheckpointDir(own)
     return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for a result that several later steps read: a lost executor costs nothing that came before."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
