@@ -1,15 +1,19 @@
-"""Link functions (UR1-UR16, UR22-UR24) as column expressions over http(s) links in ASCII.
+"""Link functions (UR1-UR16, UR22-UR24) over http(s) links: ``judge`` over a table's links, with reasons and hosts of all alphabets, and column
+expressions for links in ASCII.
 
 Spark's URL parser keeps the case of hosts, so they are lowered here; links that it cannot parse are null. International
-host names are judged as they stand (punycode is suspicious by itself).
+host names become ASCII in ``judge`` and are judged so (punycode is suspicious by itself).
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from postgrove.functions.idna import ascii_link
+
 # Kinds of hosts; an entry stands for itself and all hosts below it.
 AGGREGATORS = [
     "freshershunt.in", "job4freshers.co.in", "offcampusjobs4u.com", "freshersvoice.com", "freshercareers.in", "placementdrive.in", "fresheroffcampus.com", "kickcharm.com",
@@ -58,6 +62,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each of which stands once in the plan: Catalyst copies a projected expression to every filter and column that uses it, but not
+    what a generator gives, here a single row."""
+    given = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], given)
+
+
 def host_of(url: Column) -> Column:
     """UR2: small letters, without www. or dots at the end."""
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
@@ -150,6 +161,88 @@ def verdict(raw: Column, company: Column, own: tuple[str, ...] = ("localhost",))
     return let(let(normalize(raw), parts), judge)
 
 
+def _texts(values: list[str] | tuple[str, ...]) -> str:
+    """A list of texts in SQL."""
+    return "array(" + ", ".join("r'" + v + "'" for v in values) + ")"
+
+
+def _rules(own: tuple[str, ...]) -> list[tuple[str, str, str]]:
+    """UR3 in SQL over what ``judge`` works out: when a rule applies, the kind and the reason that it gives. The first that applies decides."""
+    below = lambda entries: f"arrays_overlap(_parents, {_texts(entries)})"
+    return [
+        ("_link IS NULL", "unresolvable", "CASE WHEN coalesce(_text, '') = '' THEN 'no link' ELSE 'not a web link' END"),
+        ("NOT contains(_host, '.')", "unresolvable", "'no public host'"),
+        (below(own), "aggregator", "'own site'"),
+        (below(AGGREGATORS), "aggregator", "concat('aggregator ', _host)"),
+        (below(WRAPPERS), "wrapper", "concat('wrapper ', _host)"),
+        ("_system", "direct", "concat(CASE WHEN _own THEN 'applicant system of the company ' ELSE 'applicant system ' END, _host)"),
+        (f"{below(FORM_HOSTS)} OR {below(FORM_PATH_HOSTS)} AND _path RLIKE r'{FORM_PATH}'", "direct", "'form'"),
+        (below(FORM_PATH_HOSTS), "suspicious", "concat('no form at ', _host)"),
+        (below(JOB_BOARDS), "suspicious", "concat('job board ', _host)"),
+        (f"_host RLIKE r'{OFFICIAL_SUFFIX}'", "direct", "'official domain'"),
+        ("_odd IS NOT NULL", "suspicious", "_odd"),
+        ("_own", "direct", "concat('host of the company ', _host)"),
+        (f"arrays_overlap(_labels, {_texts(CAREER_LABELS)})", "direct", "concat('careers host ', _host)"),
+        (f"_path RLIKE r'{APPLY_PATH}'", "direct", "'path of an application'"),
+        ("true", "suspicious", "'no sign'"),
+    ]
+
+
+def _steps(own: tuple[str, ...]) -> dict[str, str]:
+    """What ``judge`` works out, one after the other, in SQL over _raw and _company."""
+    rules = _rules(own)
+    part = lambda link, name: f"try_parse_url({link}, '{name}')"
+    host = lambda link: rf"regexp_replace(regexp_replace(lower({part(link, 'HOST')}), r'\.+$', ''), r'^www\.', '')"
+    suffix = f"array_join(slice(_labels, greatest(size(_labels) - 1, 1), 2), '.') IN ({', '.join(f'{chr(39)}{x}{chr(39)}' for x in TWO_PART_SUFFIXES)})"
+    words = r"split(regexp_replace(lower(_company), '&', ' and '), '[^a-z0-9]+')"
+    one = "_label = t OR startswith(_label, concat(t, '-')) OR endswith(_label, concat('-', t)) OR (size(_tokens) > 1 AND replace(_label, '-', '') = t)"
+    telling = f"get(filter({_texts(SUSPICIOUS_PARTS)}, p -> contains(_host, p) OR contains(regexp_replace(_host, '[^a-z0-9]', ''), replace(p, '-', ''))), 0)"
+    return {
+        "_text": rf"regexp_replace(regexp_replace(_raw, r'^\s+|\s+$', ''), r'{INVISIBLE}', '')",
+        "_given": r"CASE WHEN _text = '' THEN NULL WHEN _text RLIKE r'(?i)^[a-z][a-z0-9+.-]*:' THEN _text ELSE concat('https://', _text) END",
+        "_full": f"coalesce(get(filter(transform({_texts(WRAPPED_IN)}, p -> trim(try_url_decode(try_parse_url(_given, 'QUERY', p)))), v -> v RLIKE r'(?i)^https?://'), 0), _given)",
+        "_plain": ascii_link("_full"),
+        "_scheme": f"lower({part('_plain', 'PROTOCOL')})",
+        "_site": host("_plain"),
+        "_port": rf"regexp_extract(coalesce({part('_plain', 'AUTHORITY')}, ''), r':(\d+)$', 1)",
+        "_kept": rf"filter(split(coalesce({part('_plain', 'QUERY')}, ''), '&'), p -> p <> '' AND NOT regexp_extract(p, '^([^=]*)', 1) RLIKE r'^{TRACKING}$')",
+        "_way": f"coalesce(nullif({part('_plain', 'PATH')}, ''), '/')",
+        "_link": """CASE WHEN _scheme IN ('http', 'https') AND _site <> '' THEN concat('https://', _site,
+            CASE WHEN _port <> '' AND _port <> CASE WHEN _scheme = 'http' THEN '80' ELSE '443' END THEN concat(':', _port) ELSE '' END,
+            CASE WHEN _way <> '/' AND size(_kept) = 0 THEN regexp_replace(_way, '/$', '') ELSE _way END, CASE WHEN size(_kept) > 0 THEN concat('?', array_join(_kept, '&')) ELSE '' END) END""",
+        "_host": host("_link"),
+        "_path": f"coalesce({part('_link', 'PATH')}, '/')",
+        "_labels": r"split(_host, r'\.')",
+        "_parents": "CASE WHEN _host IS NOT NULL THEN transform(sequence(1, size(_labels)), k -> array_join(slice(_labels, k, size(_labels)), '.')) END",
+        "_at": f"CASE WHEN {suffix} THEN size(_labels) - 2 ELSE size(_labels) - 1 END",
+        "_label": "CASE WHEN size(_labels) >= 2 AND _at >= 1 THEN get(_labels, _at - 1) END",
+        "_tokens": f"filter({words}, w -> length(w) >= 3 AND NOT array_contains({_texts(GENERIC_COMPANY)}, w))",
+        "_own": f"coalesce(exists(CASE WHEN size(_tokens) > 1 THEN concat(_tokens, array(array_join(_tokens, ''))) ELSE _tokens END, t -> {one}), false)",
+        "_system": f"coalesce(arrays_overlap(_parents, {_texts(APPLICANT_SYSTEMS)}), false)",
+        "_odd": rf"CASE WHEN _host RLIKE r'(?:^|\.)xn--' THEN 'international host' WHEN {telling} IS NOT NULL THEN concat('host contains ', {telling}) WHEN _path RLIKE r'{ARTICLE_SLUG}' THEN 'path of an article' END",
+        "_rule": "CASE " + " ".join(f"WHEN {when} THEN {k}" for k, (when, *_) in enumerate(rules)) + " END",
+        "_kind": f"element_at({_texts([kind for _, kind, _ in rules])}, _rule + 1)",
+        "_reason": "CASE _rule " + " ".join(f"WHEN {k} THEN {reason}" for k, (*_, reason) in enumerate(rules)) + " END",
+    }
+
+
+#: Steps that need nothing but what stands in an earlier line are worked out together.
+_TOGETHER = ["_text", "_given", "_full", "_plain", "_scheme _site _port _kept _way", "_link", "_host _path", "_labels _tokens", "_parents _at _odd", "_label", "_own _system", "_rule", "_kind _reason"]
+
+
+def judge(df: DataFrame, raw: Column, company: Column, name: str, own: tuple[str, ...] = ("localhost",)) -> DataFrame:
+    """UR1-UR8 over a table: ``df`` with ``name``_link, _host, _path, _system, _company, _kind and _reason of a link. It gives what ``normalize`` and ``verdict`` give, for hosts of
+    all alphabets, and why. Each step is what a generator gives (a single row), so it stands once in the plan, and filters and columns may use it as often as they like: Catalyst
+    copies a projected expression to everything that uses it. All steps are one statement, so they are analysed once."""
+    steps = _steps(own)
+    views = [f"LATERAL VIEW inline(array(named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, {steps[c]}' for c in line.split())}))) v{k} AS {', '.join(line.split())}" for k, line in enumerate(_TOGETHER)]
+    shown = {"link": "_link", "host": "_host", "path": "_path", "system": "_system", "company": "_own", "kind": "_kind", "reason": "_reason"}
+    text = f"SELECT g.*, {', '.join(f'{c} AS {name}_{k}' for k, c in shown.items())} FROM given g {' '.join(views)}"
+    text = re.sub(rf"\b(?:{'|'.join([*steps, '_raw', '_company'])})\b", lambda m: "_judge" + m[0], text)  # names that a table hardly has itself
+    given = df.select("*", raw.alias("_judge_raw"), company.alias("_judge_company"))
+    return df.sparkSession.sql(text.replace("{", "{{").replace("}", "}}").replace("FROM given g", "FROM {given} g"), given=given).drop("_judge_raw", "_judge_company")
+
+
 def resolved_fields(raw: Column, company: Column, source: Column | None = None) -> Column:
     """UR9: struct(apply_url, url_status, source_url, candidate) to store of a link. A direct one may be applied at; an aggregator's becomes the source; a wrapper or a
     suspicious link is a candidate for a reader, no more. The given source stays otherwise."""

@@ -46,18 +46,13 @@ CALLS = r"(?i)\b(?:apply|application|register|registration|click\s+here|direct\s
 AROUND = 120
 
 
-def resolved_verdict(url: Column, resolved: Column, company: Column) -> Column:
-    """UR12: struct(kind, link) of a link; a wrapper counts as what it leads to, and as suspicious if that is unknown or another wrapper."""
-    def through(x: Column) -> Column:
-        kind = F.when(x["beyond"].isNull() | (x["beyond"] == "wrapper"), "suspicious").otherwise(x["beyond"])
-        unknown = x["target"].isNull()
-        return F.when(
-            x["kind"] == "wrapper",
-            F.struct(F.when(unknown, "suspicious").otherwise(kind).alias("kind"), F.when(unknown, x["link"]).otherwise(x["target"]).alias("link")),
-        ).otherwise(F.struct(x["kind"].alias("kind"), x["link"].alias("link")))
-
-    parts = F.struct(U.verdict(url, company).alias("kind"), U.normalize(url).alias("link"), U.verdict(resolved, company).alias("beyond"), U.normalize(resolved).alias("target"))
-    return U.let(parts, through)
+def judge_resolved(df: DataFrame, url: Column, resolved: Column, company: Column, now: str = "_now") -> DataFrame:
+    """UR12: ``df`` with ``now``, the link as it stands judged, and kind and link of what it leads to: a wrapper counts as its target, and as suspicious if that is unknown or another wrapper."""
+    both = U.judge(U.judge(df, url, company, now), resolved, company, "_beyond")
+    wrapper, beyond = F.col(f"{now}_kind") == "wrapper", F.col("_beyond_kind")
+    known = F.col("_beyond_link").isNotNull()
+    kind = F.when(~wrapper, F.col(f"{now}_kind")).when(~known | (beyond == "wrapper"), "suspicious").otherwise(beyond)
+    return U.worked_out(both, kind=kind, link=F.when(wrapper & known, F.col("_beyond_link")).otherwise(F.col(f"{now}_link")))
 
 
 def winners(candidates: DataFrame) -> DataFrame:
@@ -69,17 +64,17 @@ def winners(candidates: DataFrame) -> DataFrame:
 def ingest_decision(posts: DataFrame, candidates: DataFrame) -> DataFrame:
     """UR16 over posts (id, url, resolved: where a wrapper leads, company, readable: the page could be read) and page candidates (post, url, score, pos): a direct link is stored; an
     aggregator's page gives its sure candidate if that is direct itself; everything else is left to review with what was found."""
-    judged = posts.withColumn("first", resolved_verdict(F.col("url"), F.col("resolved"), F.col("company"))).select("*", F.col("first.kind").alias("kind"), F.col("first.link").alias("link"))
-    met = judged.join(winners(candidates).withColumnRenamed("post", "id"), "id", "left")
+    judged = judge_resolved(posts, F.col("url"), F.col("resolved"), F.col("company"))
+    met = U.judge(judged.join(winners(candidates).withColumnRenamed("post", "id"), "id", "left"), F.col("winner"), F.col("company"), "_won")
     article = F.col("kind") == "aggregator"
-    fine = article & F.col("readable") & (U.verdict(F.col("winner"), F.col("company")) == "direct")
+    fine = article & F.col("readable") & (F.col("_won_kind") == "direct")
     reason = (
         F.when(F.col("kind") == "direct", "direct").when(F.col("kind") == "unresolvable", "unresolvable").when(~article, F.col("kind")).when(~F.col("readable"), "page unreadable")
         .when(F.col("n_found").isNull(), "no candidate").when(F.col("winner").isNull(), "none conclusive").when(fine, "resolved from the page").otherwise("best candidate is not direct")
     )
     return met.select(
         "id",
-        F.when(F.col("kind") == "direct", F.col("link")).when(fine, U.normalize(F.col("winner"))).alias("apply_url"),
+        F.when(F.col("kind") == "direct", F.col("link")).when(fine, F.col("_won_link")).alias("apply_url"),
         F.when(article, F.col("link")).alias("source_url"),
         reason.alias("reason"),
     )
@@ -90,20 +85,21 @@ def repair_decision(posts: DataFrame, candidates: DataFrame) -> DataFrame:
     link, status and source to write. Pending posts stay, verified ones stay while their link is judged direct; a sure direct candidate of an aggregator's page replaces its link; else an aggregator's link
     moves to the source and any other stays for review."""
     old, status = F.col("apply_url"), F.col("url_status")
-    judged = posts.withColumns({"now": U.verdict(old, F.col("company")), "first": resolved_verdict(old, F.col("resolved"), F.col("company"))}).withColumns({"kind": F.col("first.kind"), "link": F.col("first.link")})
-    met = judged.join(winners(candidates).withColumnRenamed("post", "id"), "id", "left")
+    judged = judge_resolved(posts, old, F.col("resolved"), F.col("company"))
+    met = U.judge(judged.join(winners(candidates).withColumnRenamed("post", "id"), "id", "left"), F.col("winner"), F.col("company"), "_won")
+    now = F.col("_now_kind")
     said = lambda *values: F.coalesce(status.isin(*values), F.lit(False))
-    left_alone = said("pending") | (said("verified") & ((F.col("now") == "direct") | ((F.col("kind") == "direct") & F.col("link").eqNullSafe(old))))
+    left_alone = said("pending") | (said("verified") & ((now == "direct") | ((F.col("kind") == "direct") & F.col("link").eqNullSafe(old))))
     direct, article = F.col("kind") == "direct", F.col("kind") == "aggregator"
     nothing = (F.col("kind") == "unresolvable") & F.col("link").isNull()
-    found = article & (U.verdict(F.col("winner"), F.col("company")) == "direct")
+    found = article & (F.col("_won_kind") == "direct")
     return met.select(
         "id",
         F.when(left_alone, "unchanged").when(direct | F.coalesce(found, F.lit(False)), "repaired").otherwise("flagged").alias("outcome"),
-        F.when(left_alone, old).when(direct, F.col("link")).when(nothing, None).when(found, U.normalize(F.col("winner"))).when(article, None).otherwise(old).alias("apply_url"),
+        F.when(left_alone, old).when(direct, F.col("link")).when(nothing, None).when(found, F.col("_won_link")).when(article, None).otherwise(old).alias("apply_url"),
         F.when(left_alone, status).when(direct | F.coalesce(found, F.lit(False)), "verified").when(nothing & old.isNull(), "pending").otherwise("needs_review").alias("url_status"),
         F.when(~left_alone & article, F.col("link")).otherwise(F.col("source_url")).alias("source_url"),
-        F.when(left_alone, F.col("now")).when(F.coalesce(found, F.lit(False)), "direct").otherwise(F.col("kind")).alias("verdict"),
+        F.when(left_alone, now).when(F.coalesce(found, F.lit(False)), "direct").otherwise(F.col("kind")).alias("verdict"),
         F.when(~left_alone & F.coalesce(found, F.lit(False)), F.col("winner_score")).alias("score"),
     )
 
@@ -140,10 +136,9 @@ def rewritten(text: Column, better: Column) -> Column:
 def search_results(found: DataFrame) -> DataFrame:
     """UR19 over the results of a web search (job, place, url, title, company): only direct links, in order of trust: the company's host, an applicant system, a careers path, others; the
     search's own order decides between equals."""
-    judged = found.withColumns({"kind": U.verdict(F.col("url"), F.col("company")), "link": U.normalize(F.col("url"))}).where("kind = 'direct' AND link IS NOT NULL")
-    host = U.host_of(F.col("link"))
+    judged = U.judge(found, F.col("url"), F.col("company"), "_j").where("_j_kind = 'direct' AND _j_link IS NOT NULL").withColumn("link", F.col("_j_link"))
     tier = (
-        F.when(U.under(host, U.APPLICANT_SYSTEMS), TIERS["system"]).when(U.matches_company(host, F.col("company")), TIERS["company"])
+        F.when(F.col("_j_system"), TIERS["system"]).when(F.col("_j_company"), TIERS["company"])
         .when(F.col("link").rlike(r"(?i)/careers?|/jobs?|/apply"), TIERS["careers"]).otherwise(TIERS["other"])
     )
     placed = judged.withColumn("tier", tier).withColumn("rank", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("tier"), "place")))
@@ -152,12 +147,12 @@ def search_results(found: DataFrame) -> DataFrame:
 
 def mapped_links(found: DataFrame) -> DataFrame:
     """UR19 over a site map's links (job, url, title, company, role): direct ones of an applicant system, the company or a path, each once with its best score; high only where the role is named too."""
-    judged = found.withColumns({"kind": U.verdict(F.col("url"), F.col("company")), "link": U.normalize(F.col("url"))}).where("kind = 'direct' AND link IS NOT NULL")
-    host, path, title = U.host_of(F.col("link")), A.path_of(F.col("link")), trimmed(F.coalesce("title", F.lit("")))
+    judged = U.judge(found, F.col("url"), F.col("company"), "_j").where("_j_kind = 'direct' AND _j_link IS NOT NULL").withColumn("link", F.col("_j_link"))
+    path, title = A.path_of(F.col("link")), trimmed(F.coalesce("title", F.lit("")))
     words = F.filter(F.split(F.lower(F.coalesce("role", F.lit(""))), "[^a-z0-9+#]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*ROLE_FILLER))
     named = F.size(F.filter(words, lambda w: F.lower(F.concat(path, F.lit(" "), title)).contains(w)))
     flag = lambda when, n: F.when(when, n).otherwise(0)
-    parts = judged.withColumns({"lead": flag(U.under(host, U.APPLICANT_SYSTEMS), 3) + flag(U.matches_company(host, F.col("company")), 3) + flag(path.rlike(MAPPED_PATH), 2), "named": named})
+    parts = judged.withColumns({"lead": flag(F.col("_j_system"), 3) + flag(F.col("_j_company"), 3) + flag(path.rlike(MAPPED_PATH), 2), "named": named})
     scored = parts.where("lead > 0").withColumn("score", F.col("lead") + F.least("named", F.lit(2)))
     once = scored.groupBy("job", "link").agg(F.max("score").alias("score"), F.max(F.struct("score", "named"))["named"].alias("named"))
     return once.select("job", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("score"), "link")).alias("rank"), "link", "score", F.when((F.col("score") >= 5) & (F.col("named") > 0), "high").otherwise("medium").alias("confidence"))
@@ -166,10 +161,9 @@ def mapped_links(found: DataFrame) -> DataFrame:
 def rendered_links(candidates: DataFrame, links: DataFrame) -> DataFrame:
     """UR19 over an article's candidates (job, link, score, confidence) and the bare links that its page shows (job, page_url, url, company): direct links of other hosts that belong to an
     applicant system or the company are added at medium, unless the article has them."""
-    judged = links.withColumn("full", A.absolute(F.col("url"), F.col("page_url"))).withColumns({"kind": U.verdict(F.col("full"), F.col("company")), "link": U.normalize(F.col("full"))})
-    host = U.host_of(F.col("link"))
-    system, own = U.under(host, U.APPLICANT_SYSTEMS), U.matches_company(host, F.col("company"))
-    extra = judged.where((F.col("kind") == "direct") & (host != U.host_of(F.col("page_url"))) & (system | own)).groupBy("job", "link").agg(F.max(F.when(system & own, 4).otherwise(3)).alias("score"))
+    judged = U.judge(links, A.absolute(F.col("url"), F.col("page_url")), F.col("company"), "_j").withColumn("link", F.col("_j_link"))
+    system, own = F.col("_j_system"), F.col("_j_company")
+    extra = judged.where((F.col("_j_kind") == "direct") & (F.col("_j_host") != U.host_of(F.col("page_url"))) & (system | own)).groupBy("job", "link").agg(F.max(F.when(system & own, 4).otherwise(3)).alias("score"))
     new = extra.join(candidates.select("job", "link"), ["job", "link"], "left_anti").withColumn("confidence", F.lit("medium"))
     both = candidates.select("job", "link", "score", "confidence").unionByName(new)
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("score"), "link")))
@@ -179,13 +173,15 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     """UR20 over (id, url, html, company, role, location): the signs that a page is the posting's own and open, their sum, and the verdict. A page must be direct and official, offer an
     application and not be closed; one that is no applicant system must name the company. Pages that were not read keep a sum of 0."""
     url, company, role, place = F.col("url"), F.col("company"), F.col("role"), F.col("location")
-    host = U.host_of(url)
+    pages = U.judge(pages.withColumn("_page_host", U.host_of(url)), url, company, "_j")
+    host = F.col("_page_host")
     plain = F.lower(F.col("html"))
     for pattern in (r"(?s)<script[^>]*>.*?</script>", r"(?s)<style[^>]*>.*?</style>", r"<[^>]+>", f"[{P.SPACE}]+"):
         plain = F.regexp_replace(plain, pattern, " ")
-    site = F.regexp_extract(F.regexp_extract(F.lower(F.col("html")), SITE_NAME, 0), r"""\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
+    meta, content = F.regexp_extract(F.lower(F.col("html")), SITE_NAME, 0), r"""\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    site = F.concat(F.regexp_extract(meta, content, 1), F.regexp_extract(meta, content, 2))  # one of them is empty
     read = pages.withColumns({
-        "_html": F.lower(F.col("html")), "_text": P.stripped(plain), "_direct": U.verdict(url, company) == "direct", "_system": U.under(host, U.APPLICANT_SYSTEMS),
+        "_html": F.lower(F.col("html")), "_text": P.stripped(plain), "_direct": F.col("_j_kind") == "direct", "_system": U.under(host, U.APPLICANT_SYSTEMS),
         "_title": F.regexp_extract(F.lower(F.col("html")), TITLE, 1), "_site": site,
         "_names": F.filter(F.split(F.lower(company), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*U.GENERIC_COMPANY)),
         "_words": F.filter(F.split(F.lower(role), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin("the", "and", "for")),

@@ -90,22 +90,21 @@ def path_of(link: Column) -> Column:
 def candidates(pages: DataFrame, company: Column) -> DataFrame:
     """UR13 over (page_id, url, html): the links of an article that may be applied at, each once with its best score. A link needs a sign of a
     destination (applicant system, the company's host, a path, a form); a label only adds to it. ``company`` may be a column of ``pages``."""
-    found = anchors(pages.withColumn("_company", company)).withColumn("_full", absolute(F.col("href"), F.col("url")))
-    found = found.withColumns({"_ad": U.under(U.host_of(F.col("_full")), AD_HOSTS), "_kind": U.verdict(F.col("_full"), F.col("_company")), "link": U.normalize(F.col("_full")), "_own": U.host_of(F.col("url"))})
-    found = found.where(F.col("link").isNotNull() & F.col("_own").isNotNull() & ~F.coalesce("_ad", F.lit(False))).withColumns({"_host": U.host_of(F.col("link")), "_path": path_of(F.col("link"))})
-    host, path, label, kind = F.col("_host"), F.col("_path"), F.col("label"), F.col("_kind")
-    own = (host == F.col("_own")) | host.endswith(F.concat(F.lit("."), F.col("_own")))
+    found = U.worked_out(anchors(pages.withColumn("_of", company)), _target=absolute(F.col("href"), F.col("url")), _site=U.host_of(F.col("url")))
+    found = U.judge(found, F.col("_target"), F.col("_of"), "_j").where(F.col("_j_link").isNotNull() & F.col("_site").isNotNull() & ~F.coalesce(U.under(U.host_of(F.col("_target")), AD_HOSTS), F.lit(False)))
+    host, path, label, kind = F.col("_j_host"), F.col("_j_path"), F.col("label"), F.col("_j_kind")
+    own = (host == F.col("_site")) | host.endswith(F.concat(F.lit("."), F.col("_site")))
     barred = (
         ~host.contains(".") | own | U.under(host, AD_HOSTS + THEME_HOSTS + SOCIAL_HOSTS) | path.rlike(SHARE_PATH) | F.coalesce(F.col("rel").rlike(ascii_bounds(r"(?i)\bsponsored\b")), F.lit(False))
         | label.rlike(ascii_bounds(UNRELATED)) | (kind == "aggregator")
     )
     flag = lambda when, name: F.when(when, POINTS[name]).otherwise(0)
     destination = (
-        flag((kind == "direct") & U.under(host, U.APPLICANT_SYSTEMS), "system") + flag(U.matches_company(host, F.col("_company")), "company") + flag(path.rlike(PAGE_APPLY_PATH), "path")
+        flag((kind == "direct") & F.col("_j_system"), "system") + flag(F.col("_j_company"), "company") + flag(path.rlike(PAGE_APPLY_PATH), "path")
         + flag((kind == "direct") & U.under(host, U.FORM_HOSTS + U.FORM_PATH_HOSTS), "form")
     )
-    led = found.where(~barred).withColumn("_to", destination).where((F.col("_to") > 0) & ~(path.rlike(FRONT_DOOR) & (F.col("_to") <= POINTS["path"])))
-    said = F.when(label.rlike(ascii_bounds(STRONG)), POINTS["strong"]).when(label.rlike(ascii_bounds(WEAK)), POINTS["weak"]).otherwise(0)
+    strength = F.when(label.rlike(ascii_bounds(STRONG)), POINTS["strong"]).when(label.rlike(ascii_bounds(WEAK)), POINTS["weak"]).otherwise(0)
+    led = U.worked_out(found, link=F.col("_j_link"), _barred=barred, _to=destination, _said=strength, _door=path.rlike(FRONT_DOOR)).where(~F.col("_barred") & (F.col("_to") > 0) & ~(F.col("_door") & (F.col("_to") <= POINTS["path"])))
     first = Window.partitionBy("page_id", "link").orderBy(F.desc("score"), "pos")
-    once = led.withColumn("score", F.col("_to") + said).withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    once = led.withColumn("score", F.col("_to") + F.col("_said")).withColumn("_k", F.row_number().over(first)).where("_k = 1")
     return once.select("page_id", "pos", "link", F.nullif(F.substring("label", 1, 120), F.lit("")).alias("label"), "score", U.confidence(F.col("score")).alias("confidence"))
