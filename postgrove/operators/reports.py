@@ -6,8 +6,13 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from postgrove.functions import urls as U
 from postgrove.functions.clock import in_zone, midnight, ntz
 
+# Links in a body and what is cut off behind them.
+BODY_LINK = r"""(?i)https?://[^\s<>"'`)\]}]+"""
+AUDIT_TAIL = "[.,;:!?\u2026\"')\\]}]+$"
+
 # Words that say nothing about a role.
 STOP_WORDS = (
     "a an and any are as at batch by campus drive for free fresher freshers from hiring in is job jobs join link multiple new now of off on opening openings "
@@ -95,8 +100,37 @@ def audit(df: DataFrame, facets: dict[str, Column]) -> DataFrame:
     return grouped.select(facet.alias("facet"), F.coalesce(*names).alias("value"), "n", "bad")
 
 
+def link_audit(posts: DataFrame) -> DataFrame:
+    """AGG9 over posts (id, link, company, body, source, channel, created): in one scan, counts (n) of all that the audit asks for, as (facet, value) pairs, and how many of them have an
+    aggregator's or a suspicious link (bad). A post's own link and those in its body are judged by the same expression; pairs are counted before they are exchanged."""
+    url = F.regexp_replace(F.col("_x.url"), AUDIT_TAIL, "")
+    in_body = F.transform(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(BODY_LINK), F.lit(0)), lambda u: F.struct(F.lit(False).alias("own"), u.alias("url")))
+    each = posts.withColumn("_x", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("own"), F.lit(None).cast("string").alias("url"))), in_body)))
+    each = each.select("company", "source", "channel", "created", F.col("_x.own").alias("own"), F.when(F.col("_x.own"), F.col("link")).otherwise(url).alias("url"))
+    judged = U.judge(each, F.col("url"), F.col("company"), "_j")
+    own, kind = F.col("own"), F.col("_j_kind")
+    given = own & F.coalesce(F.trim("url") != "", F.lit(False))
+    month_of = F.coalesce(F.date_format("created", "yyyy-MM"), F.lit("unknown"))
+    host = F.coalesce("_j_host", F.lit("unparseable"))
+    channel = F.concat_ws(" / ", F.coalesce("source", F.lit("?")), F.concat(F.lit("@"), F.coalesce("channel", F.lit("?"))))
+    facets = [
+        (own, "posts", F.when(given, "with a link").otherwise("without a link")), (own, "month", month_of), (given, "verdict", kind), (given, "reason", F.concat_ws(": ", kind, "_j_reason")),
+        (given, "host", host), (given, "channel", channel), (~own & (kind == "aggregator"), "body host", host),
+    ]
+    pairs = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(facet).alias("facet"), value.alias("value"))) for when, facet, value in facets]))
+    bad = F.coalesce(kind.isin("aggregator", "suspicious"), F.lit(False)) & (given | ~own)
+    return judged.select(F.explode(pairs).alias("f"), bad.alias("bad")).groupBy("f.facet", "f.value").agg(n().alias("n"), count_where(F.col("bad")).alias("bad"))
+
+
+def group_members(df: DataFrame, key: str, id_: str) -> DataFrame:
+    """AGG10's members: (group, member) for each row of a group of more than one, the group named by its first id. Groups are counted first and joined
+    back, so none is gathered, and a group that holds much of the table is split by the join."""
+    groups = df.groupBy(key).agg(n().alias("_n"), F.min(id_).alias("group")).where(F.col("_n") > 1).select(F.col(key).alias("_key"), "group")
+    return df.join(groups, df[key].eqNullSafe(groups["_key"])).select("group", df[id_].alias("member"))
+
+
 def repeated_groups(df: DataFrame, key: str, id_: str) -> DataFrame:
-    """AGG10: groups of more than one row, by their size and first and last id (the members follow by a join, so no group is gathered)."""
+    """AGG10: groups of more than one row, by their size and first and last id (``group_members`` has the members)."""
     return df.groupBy(key).agg(n().alias("n"), F.min(id_).alias("first_id"), F.max(id_).alias("last_id")).where(F.col("n") > 1)
 
 

@@ -191,7 +191,7 @@ _PLAIN = _replaced("lower(html)", [("(?s)<script[^>]*>.*?</script>", "' '"), ("(
 
 @query("page_evidence", rf"""WITH {ARTICLES_SQL}, {W.judged('u', 'articles', 'url', 'company')},
     e1 AS (SELECT *, lower(html) AS h, {W.host('url')} AS hst, trim({_PLAIN}) AS t FROM u),
-    e2 AS (SELECT *, regexp_extract(h, '<title[^>]*>([^<]+)</title>', 1) AS title, regexp_extract(regexp_extract(h, '{_RE(E.SITE_NAME)}'), 'content\s*=\s*"([^"]*)"', 1) AS site,
+    e2 AS (SELECT *, regexp_extract(h, '<title[^>]*>([^<]+)</title>', 1) AS title, regexp_extract(regexp_extract(h, '<meta[^>]*=["'']og:site_name["''][^>]*>'), 'content\s*=\s*["'']([^"'']*)["'']', 1) AS site,
         [w FOR w IN string_split_regex(lower(company), '[^a-z0-9]+') IF len(w) > 2 AND NOT list_contains({W.listed(U.GENERIC_COMPANY)}, w)] AS names,
         [w FOR w IN string_split_regex(lower(role), '\s+') IF len(w) > 2 AND w NOT IN ('the', 'and', 'for')] AS words, [w FOR w IN string_split_regex(lower(location), '\s+|,') IF len(w) > 2] AS places,
         {W.under('hst', U.APPLICANT_SYSTEMS)} AS sys, coalesce(u_kind = 'direct' AND ({W.under('hst', U.APPLICANT_SYSTEMS)} OR {W.matches_company('hst', 'company')} OR regexp_matches(hst, '{U.OFFICIAL_SUFFIX[4:]}', 'i')), false) AS official FROM e1),

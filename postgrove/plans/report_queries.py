@@ -7,11 +7,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from postgrove.operators import predicates as P, reports as R
-from postgrove.plans.feed_queries import NOW, _ACTIVE
+from postgrove.plans import twins as W
+from postgrove.plans.feed_queries import NOW, SOURCES, _ACTIVE, _OUTSIDE
 from postgrove.plans.registry import query
 from postgrove.schemas import QUEUE_STATUSES
 from postgrove.session import read_table
-from postgrove.sources.tables import POSTINGS_SQL, QUEUE_SQL, postings, queue
+from postgrove.sources.tables import AUDITED_SQL, POSTINGS_SQL, QUEUE_SQL, audited, postings, queue
 
 _Q = f"WITH {QUEUE_SQL}"
 _P = f"WITH {POSTINGS_SQL}"
@@ -112,6 +113,40 @@ def facet_audit(spark, sf_dir):
     return R.audit(rows.withColumnRenamed("source", "of"), {"source": F.col("of"), "url_status": F.col("url_status"), "month": R.month("posted_at")})
 
 
+def _why(n: str) -> str:
+    """The reason of a link judged by ``W.judged``, by lists and patterns written out here."""
+    under = lambda hosts: rf"regexp_matches({n}_host, '(^|\.)({hosts})$')"
+    return rf"""CASE WHEN {n}_link IS NULL THEN CASE WHEN trim(coalesce(url, '')) = '' THEN 'no link' ELSE 'not a web link' END WHEN NOT contains({n}_host, '.') THEN 'no public host'
+        WHEN {under('freshershunt[.]in')} THEN 'aggregator ' || {n}_host WHEN {under('bit[.]ly|linktr[.]ee|t[.]co')} THEN 'wrapper ' || {n}_host
+        WHEN {under('myworkdayjobs[.]com')} THEN CASE WHEN {W.matches_company(f'{n}_host', 'company')} THEN 'applicant system of the company ' ELSE 'applicant system ' END || {n}_host
+        WHEN {under('forms[.]gle')} THEN 'form' WHEN {under('linkedin[.]com')} THEN 'job board ' || {n}_host WHEN {n}_host LIKE '%.gov.in' THEN 'official domain'
+        WHEN {W.matches_company(f'{n}_host', 'company')} THEN 'host of the company ' || {n}_host WHEN regexp_matches({n}_host, '(^|\.)(careers|jobs)\.') THEN 'careers host ' || {n}_host
+        WHEN regexp_matches({n}_path, '/(jobs?|careers|apply)(/|$)') THEN 'path of an application' ELSE 'no sign' END"""
+
+
+@query("link_audit", rf"""WITH {AUDITED_SQL}, own AS (SELECT *, link AS url FROM audited), {W.judged('j', 'own', 'url', 'company')}, told AS (SELECT *, {_why('j')} AS why, trim(coalesce(url, '')) <> '' AS given FROM j),
+    bodies AS (SELECT company, regexp_replace(unnest(regexp_extract_all(body, 'https?://[^\s<>"''`)\]}}]+', 0, 'i')), '[.,;:!?\x{{2026}}"'')\]}}]+$', '') AS url FROM audited), {W.judged('b', 'bodies', 'url', 'company')},
+    pairs AS (
+        SELECT 'posts' AS facet, CASE WHEN given THEN 'with a link' ELSE 'without a link' END AS value, given AND j_kind IN ('aggregator', 'suspicious') AS bad FROM told
+        UNION ALL SELECT 'month', coalesce(strftime(created, '%Y-%m'), 'unknown'), given AND j_kind IN ('aggregator', 'suspicious') FROM told
+        UNION ALL SELECT 'verdict', j_kind, j_kind IN ('aggregator', 'suspicious') FROM told WHERE given
+        UNION ALL SELECT 'reason', j_kind || ': ' || why, j_kind IN ('aggregator', 'suspicious') FROM told WHERE given
+        UNION ALL SELECT 'host', coalesce(j_host, 'unparseable'), j_kind IN ('aggregator', 'suspicious') FROM told WHERE given
+        UNION ALL SELECT 'channel', coalesce(source, '?') || ' / @' || coalesce(channel, '?'), j_kind IN ('aggregator', 'suspicious') FROM told WHERE given
+        UNION ALL SELECT 'body host', b_host, true FROM b WHERE b_kind = 'aggregator')
+    SELECT facet, value, count(*) AS n, count(*) FILTER (bad) AS bad FROM pairs GROUP BY ALL""")
+def link_audit(spark, sf_dir):
+    """AGG9 over all documents as posts with links: verdicts, reasons, hosts, months, channels and hosts in bodies in one scan."""
+    return R.link_audit(audited(spark, sf_dir))
+
+
+@query("group_members", "SELECT min(doc_id) OVER (PARTITION BY text) AS \"group\", doc_id AS member FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
+def group_members(spark, sf_dir):
+    """AGG10: every document whose text others share, with the first of them."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return R.group_members(docs, "digest", "doc_id")
+
+
 @query("group_having_dups", "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY text HAVING count(*) > 1")
 def group_having_dups(spark, sf_dir):
     """AGG10 over texts."""
@@ -179,6 +214,15 @@ def daily_counts(spark, sf_dir):
     return R.daily_counts(queue(spark, sf_dir), datetime(2024, 2, 1, 9), "Asia/Kolkata")
 
 
+@query("daily_counts_of_feed", f"""{_P}, shown AS (SELECT posted_at FROM postings WHERE {_ACTIVE} AND {_OUTSIDE}), spine AS (SELECT (DATE '1998-06-09' + d::INT) AS day FROM range(7) t(d)),
+    c AS (SELECT (posted_at + INTERVAL 330 MINUTE)::DATE AS day, count(*) AS n FROM shown GROUP BY 1), f AS (SELECT spine.day, coalesce(n, 0) AS n FROM spine LEFT JOIN c USING (day))
+    SELECT day::VARCHAR AS day, n, greatest(2.0::DOUBLE, 100.0::DOUBLE * n / greatest(1, (SELECT max(n) FROM f))) AS height FROM f""")
+def daily_counts_of_feed(spark, sf_dir):
+    """AGG17 over what the feed shows (FLT1, FLT2), in days of a reader in India."""
+    shown = postings(spark, sf_dir).where(P.active(NOW) & P.outside_sources(list(SOURCES)))
+    return R.daily_counts(shown, NOW, "Asia/Kolkata", at="posted_at")
+
+
 @query("profile_completeness", "SELECT * FROM (VALUES (1, 100), (2, 50), (3, 0)) t(id, points)")
 def profile_completeness(spark, sf_dir):
     """AGG18 on literal profiles."""

@@ -25,7 +25,8 @@ _TRIM = lambda c: rf"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"  # n
 @query("article_verdicts", f"WITH {ARTICLES_SQL}, {W.judged('u', 'articles', 'url', 'company')} SELECT page_id, u_link AS link, u_kind AS verdict FROM u")
 def article_verdicts(spark, sf_dir):
     """UR1, UR3-UR8, JN9 over all pages as articles, with companies."""
-    return articles(spark, sf_dir).select("page_id", U.normalize(F.col("url")).alias("link"), U.verdict(F.col("url"), F.col("company")).alias("verdict"))
+    judged = U.judge(articles(spark, sf_dir), F.col("url"), F.col("company"), "u")
+    return judged.select("page_id", F.col("u_link").alias("link"), F.col("u_kind").alias("verdict"))
 
 
 @query("public_article_links", f"""WITH {ARTICLES_SQL}, {W.judged('u', 'articles', 'url', 'company')} SELECT page_id, CASE WHEN page_id % 3 = 0 OR u_kind = 'direct' THEN url END AS link FROM u""")

@@ -94,6 +94,7 @@ ARTICLE_ENDS = [
     "",
     """<a href="https://acme.wd1.myworkdayjobs.com/r/1"><b>Apply</b> now</a> <a href='https://forms.gle/z'>Register</a> <a href="https://t.me/jobs">Apply now</a>""",
     """<button class="b">Apply now</button> Acme hires a Backend Engineer in Pune. <meta property="og:site_name" content="Acme Careers">""",
+    """<button>Apply now</button> A Data Analyst for Pune. <meta content='Acme &amp; Sons | Bolt Labs | ISRO' name='og:site_name'>""",
     """<form action="/apply/1"><input type="file" name="resume"></form> Bolt Labs Pvt Ltd wants a Data Analyst, remote. Apply now""",
     """This position has been filled. <a href="/apply/own">Apply here</a> <a href="https://acme.com/careers/9?utm_source=x">more jobs</a> <a rel="nofollow sponsored" href="https://acme.com/jobs/1">Apply</a>""",
     """<a href="https://bolt-labs.com/">home</a><a href="https://bolt-labs.com/jobs/77">Apply link &raquo;</a><a href="https://bolt-labs.com/jobs/77/">Official site</a><!-- <a href="https://acme.com/jobs/3">Apply</a> -->"""
@@ -152,6 +153,21 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POSTS_SQL = f"posts AS (SELECT doc_id AS id, {sql_case('doc_id', HEADS)} || chr(10) || text || chr(10) || {sql_case('doc_id', TAILS)} AS text FROM documents)"
 
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, link, company, body, source, channel, created): all posts with a link and a company by their id."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("channel"))
+    day = F.make_dt_interval(F.pmod("id", F.lit(400)))
+    return posts(spark, sf_dir).withColumnRenamed("text", "body").join(docs, "id").select(
+        "id", F.concat(cases("id", ARTICLE_LINKS), F.col("id").cast("string")).alias("link"), cases("id", COMPANIES).alias("company"), "body", "source", "channel",
+        F.when(F.pmod("id", F.lit(17)) > 0, F.lit("2024-01-01").cast("timestamp_ntz") + day).alias("created"),
+    )
+
+
+AUDITED_SQL = f"""{POSTS_SQL}, audited AS (SELECT p.id, {sql_case('p.id', ARTICLE_LINKS)} || p.id AS link, {sql_case('p.id', COMPANIES)} AS company, p.text AS body, d.source, d.lang AS channel,
+    CASE WHEN p.id % 17 > 0 THEN TIMESTAMP '2024-01-01' + INTERVAL (p.id % 400) DAY END AS created FROM posts p JOIN documents d ON d.doc_id = p.id)"""
+
 # ---- posts with labelled lines, and customers with company names of all sorts
 
 DETAILS = [
