@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from postgrove.llm.common import read_table, stored
 from postgrove.llm.substrings import mix
 
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 #: Buckets of a slice; of all slices at least and at most.
 SLICE, LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 16, 1 << 28
 #: Bucket counts that a task holds before it sends them.
-HELD = 4_000_000
+HELD = 2_000_000
 _BREAK = b"\xff"  # no byte of UTF-8
 # The characters that end a piece; ASCII letters are lower-cased.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
