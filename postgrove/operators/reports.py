@@ -144,9 +144,11 @@ def top_companies(df: DataFrame, limit: int, name: str = "company", key: str = "
 
 def popular_terms(df: DataFrame, limit: int, column: str = "role") -> DataFrame:
     """AGG12: words of a title, each once a row. ``+ # .`` belong to names of technologies."""
-    words = F.transform(F.split(F.lower(F.trim(column)), r"[^a-z0-9+#.]+"), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
-    kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^[0-9]+$") & ~w.isin(*STOP_WORDS))
-    counted = df.select(F.explode(F.array_distinct(kept)).alias("token")).groupBy("token").agg(n().alias("n")).orderBy(F.desc("n"), "token").limit(limit)
+    # Full stops go from the ends of words in one pass over the text; what is no term is left out of the counts, which are few.
+    text = F.regexp_replace(F.lower(F.trim(column)), r"(?<![a-z0-9+#.])\.+|\.+(?![a-z0-9+#.])", "")
+    counted = df.select(F.explode(F.array_distinct(F.split(text, r"[^a-z0-9+#.]+"))).alias("token")).groupBy("token").agg(n().alias("n"))
+    terms = counted.where((F.length("token") >= 2) & ~F.col("token").rlike(r"^[0-9]+$") & ~F.col("token").isin(*STOP_WORDS))
+    counted = terms.orderBy(F.desc("n"), "token").limit(limit)
     upper = (F.length("token") <= 3) & F.col("token").rlike("^[a-z]+$")
     return counted.select(F.when(upper, F.upper("token")).otherwise(F.concat(F.upper(F.substring("token", 1, 1)), F.expr("substring(token, 2)"))).alias("term"), "n")
 

@@ -13,6 +13,12 @@ def test_query_equals_sql(name, spark, sf_dir, same_as_sql):
     same_as_sql(catalogue.queries()[name](spark, sf_dir), catalogue.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.CASES))
+def test_literal_case_equals_its_rows(name, spark, sf_dir, same_as_sql):
+    run, sql = catalogue.cases()[name]
+    same_as_sql(run(spark, sf_dir), sql)
+
+
 def test_what_has_no_sql_has_a_test_of_its_own():
     """Calls whose starts depend on each other are replayed in test_admission and test_streaming_and_rules."""
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"stream_admission", "stream_turns"}

@@ -8,4 +8,4 @@ from postgrove.session import read_table
 
 def test_normalisation_is_over_all_languages(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    assert __spark_entry__.queries()["normalized_text_all"](spark, sf_dir).count() == docs.count() > docs.where("lang = 'en'").count()
+    assert __spark_entry__.queries()["normalized_text"](spark, sf_dir).count() == docs.count() > docs.where("lang = 'en'").count()
