@@ -11,7 +11,7 @@ from postgrove.plans import twins as W
 from postgrove.plans.feed_queries import NOW, SOURCES, _ACTIVE, _OUTSIDE
 from postgrove.plans.registry import query
 from postgrove.schemas import QUEUE_STATUSES
-from postgrove.session import read_table
+from postgrove.session import read_table, spread
 from postgrove.sources.tables import AUDITED_SQL, POSTINGS_SQL, QUEUE_SQL, audited, postings, queue
 
 _Q = f"WITH {QUEUE_SQL}"
@@ -175,7 +175,7 @@ _STOP_SQL = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
     SELECT CASE WHEN length(t) <= 3 AND regexp_matches(t, '^[a-z]+$') THEN upper(t) ELSE upper(substr(t, 1, 1)) || substr(t, 2) END AS term, n FROM counted""")
 def popular_terms(spark, sf_dir):
     """AGG12 over whole texts."""
-    return R.popular_terms(read_table(spark, sf_dir, "documents"), 25, "text")
+    return R.popular_terms(spread(read_table(spark, sf_dir, "documents").select("text")), 25, "text")
 
 
 @query("logo_rows", f"""{_P}, l AS (SELECT id, source, CASE WHEN id % 5 = 3 THEN 'logo' || id END AS logo FROM postings)
