@@ -52,7 +52,7 @@ def test_query_equals_sql(name, spark, sf_dir, same_as_sql):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def said(df):
