@@ -1,7 +1,11 @@
 """The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, repeated passages and live
 secrets are cut out, and what is left is packed into training sequences.
 
-Every stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but the last return the columns of ``documents``."""
+Every stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but the last return the columns of ``documents``.
+
+Defined results: a null or empty text is judged as an empty one, is near to no other, has nothing to cut or redact, and is packed as its end token alone; a text of any length is
+read whole; rows that repeat an id share its fate, and a row without an id stays and is packed with a null id; an empty table passes through all stages; further columns of any type and name go along through
+all stages but the last, except that the results of the classifier (p_kind_1 and so on, p_toxic, toxic) and of the passages' cutter (n_words, n_removed) replace columns called like them on the way."""
 
 from __future__ import annotations
 

@@ -9,7 +9,7 @@ histogram goes in by best fit, again by whole classes of equal sequences. The pl
 capacity alone; the pieces then find their places by their rank among the pieces of equal length.
 
 Defined results: a null text counts as an empty one, and an empty text still has its end token; rows that
-repeat are packed each; a null doc_id is carried along; extra columns of the input are left out.
+repeat are packed each; a null doc_id is carried along; extra columns of the input are left out and may have any name; a text of any length is encoded whole and cut into pieces; an empty table gives no pieces.
 """
 
 from __future__ import annotations

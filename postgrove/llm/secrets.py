@@ -8,7 +8,7 @@ will do; bare runs (hex, opaque) must hold both.
 
 Defined results: a null or empty text has no candidates; rows that repeat each get their own result;
 a null owner or repository counts as one more owner or repository; extra columns pass through
-``annotate`` untouched (clashing names are avoided by the ``_pg_`` prefix).
+``annotate`` untouched (clashing names are avoided by the ``_pg_`` prefix) and may have any name; a text of any length is searched whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ HEX = r"[0-9a-f]{24,}"
 OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9+/_-])"
 #: What a value must look like to be live, by kind.
 LIVE = ("[A-Za-z0-9]", "[A-Za-z0-9]", "^(?=.*[0-9]).*[A-Za-z]", "^(?=.*[0-9]).*[A-Za-z]")
-# A value that more owners, or more repositories, hold is widely copied.
+#: Parameters of ``annotate``: a value that more owners, or more repositories, hold is widely copied.
 MAX_OWNERS, MAX_REPOS = 2, 20
 
 SPAN = "array<struct<start:int,kind:int,end:int,hash:binary>>"
