@@ -26,7 +26,7 @@ KNOWN = {
     "tcs": "tcs.com", "tataconsultancyservices": "tcs.com", "micron": "micron.com", "microntechnology": "micron.com", "fujitsu": "global.fujitsu", "zeta": "zeta.tech", "weekday": "weekday.works",
     "weekdayworks": "weekday.works", "yash": "yash.com", "yashtechnologies": "yash.com", "iocl": "iocl.com", "indianoil": "iocl.com", "johnsonandjohnson": "jnj.com",
 }
-#: The steps from a name in small letters to its comparable form.
+# The steps from a name in small letters to its comparable form, in order.
 STEPS = [(ASIDE, " "), ("&", " and "), (ADDED, " "), (r"[^a-z0-9.\s-]", " "), (LEGAL, " "), (r"[\s-]+", " "), (r"\s*\.\s*", "."), (r"^\.+|\.+$", "")]
 
 
