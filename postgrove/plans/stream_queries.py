@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postgrove.plans.registry import query
 from postgrove.session import read_table, shared_folder
-from postgrove.streaming import admission as A, posts as P
+from postgrove.streaming import admission as A, live as L, posts as P
 
 
 def _folder(spark, name: str) -> str:
@@ -75,3 +75,20 @@ def broadcast_feed(spark, sf_dir):
     """SNK6."""
     rows = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), (F.col("event_id") % 2 == 0).alias("is_new"))
     return P.broadcast_rows(rows, ["view"]).select("id", "feed", "event")
+
+
+@query("live_feed", f"""WITH e AS (SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'view' THEN 'created' WHEN 'error' THEN 'listed' ELSE 'updated' END AS event, CASE WHEN user_id % 3 = 0 THEN 'imported' ELSE 'main' END AS feed, value FROM events),
+    come AS (SELECT feed, id, min(seq) AS seq FROM e WHERE event = 'listed' OR (event = 'created' AND value > 20) GROUP BY ALL),
+    shown AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'imported' ELSE 'main' END AS feed, c_custkey AS id, -1 AS seq, c_custkey AS place, c_acctbal AS value FROM customer WHERE c_custkey % 4 = 0),
+    rows_in AS (SELECT * FROM shown UNION ALL SELECT c.feed, c.id, c.seq, CASE c.feed WHEN 'main' THEN -c.seq - 1 ELSE c.seq + {L.END} END, e.value FROM come c JOIN e USING (feed, id, seq) WHERE (c.feed, c.id) NOT IN (SELECT (feed, id) FROM shown)),
+    last AS (SELECT feed, id, max(seq) AS seq FROM e WHERE event = 'updated' GROUP BY ALL)
+    SELECT r.feed, r.id, r.place::BIGINT AS place, (CASE WHEN l.seq > r.seq THEN u.value ELSE r.value END)::DOUBLE AS value FROM rows_in r LEFT JOIN last l USING (feed, id) LEFT JOIN e u ON u.feed = l.feed AND u.id = l.id AND u.seq = l.seq""")
+def live_feed(spark, sf_dir):
+    """SNK6, ST10, ST19: events of users reach two feeds, one newest first and one oldest first, which show some customers before."""
+    side = lambda key: F.when(F.col(key) % 3 == 0, "imported").otherwise("main")
+    kind = F.when(F.col("event_type") == "view", "created").when(F.col("event_type") == "error", "listed").otherwise("updated")
+    events = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), kind.alias("event"), side("user_id").alias("source"), F.col("user_id").alias("id"), F.col("value").cast("double").alias("value"))
+    shown = read_table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(side("c_custkey").alias("feed"), F.col("c_custkey").alias("place"), F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("value"))
+    feeds = [L.Feed("main", "value > 20"), L.Feed("imported", "value > 20", ("imported",), newest_first=False, both_ends=True)]
+    rows = L.run(events, _folder(spark, "live"), _folder(spark, "live-log"), feeds, shown)
+    return rows.select("feed", "id", F.col("place")[0].alias("place"), "value")
