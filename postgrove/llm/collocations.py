@@ -33,59 +33,62 @@ CHUNK_BYTES = 8_000_000
 SLICE, LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 16, 1 << 28
 #: Bucket counts that a task holds before it sends them.
 HELD = 2_000_000
-_BREAK = b"\xff"  # no byte of UTF-8
-# The characters that end a piece; ASCII letters are lower-cased.
-_ENDS = b".,;:!?\n\x0b\x0c\r"
-_PLAIN = bytes.maketrans(_ENDS + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", _BREAK * len(_ENDS) + b"abcdefghijklmnopqrstuvwxyz")
+# The characters that end a piece, those that part words; ASCII letters are lower-cased.
+_ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_KIND = bytes(2 if c in _ENDS else c in _BLANKS for c in range(256))
 
 
-class _Codes(dict):
-    """Numbers from 1 on for the words of one language, shared with the other languages of a chunk; 0 is the end of a piece."""
+def numbered_words(raw: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of a text, and their numbers from 1 on in order; 0 is the end of a piece."""
+    kind = np.frombuffer(raw.translate(_KIND), dtype=np.uint8)
+    word = kind == 0
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    letters = np.frombuffer(raw.translate(_LOWER), dtype=np.uint8)[word]
+    offsets = np.append(0, np.cumsum(sizes)).astype("<i4")
+    coded = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+    ends = np.cumsum(kind == 2, dtype=np.int32)[starts]
+    place = np.arange(len(starts)) + np.cumsum(np.diff(ends, prepend=ends[:1]) > 0)
+    numbers = np.zeros(place[-1] + 2 if len(place) else 1, dtype="<i4")
+    numbers[place] = coded.indices.to_numpy() + 1
+    return coded.dictionary, numbers
 
-    def __init__(self, names: list[tuple[int, bytes]], lang: int):
-        super().__init__({_BREAK: 0})
-        self.names, self.lang = names, lang
 
-    def __missing__(self, word: bytes) -> int:
-        self.names.append((self.lang, word))
-        self[word] = n = len(self.names)
-        return n
-
-
-CHUNKS = "langs array<string>, words array<string>, lang_of binary, codes binary, n_words long"
+#: Words of a chunk stand language by language. ``n_words`` and ``n_distinct`` are by language; ``sizes``, ``letters`` and ``codes`` are compressed.
+CHUNKS = "langs array<string>, n_words array<long>, n_distinct array<long>, sizes binary, letters binary, codes binary"
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` (lang, text) as chunks, written once. Words without an end of a piece between them are neighbours."""
 
+    def chunk(texts: dict[str, list[bytes]]) -> pa.RecordBatch:
+        words, codes, known = [], [], 0
+        for raw in texts.values():
+            names, numbers = numbered_words(b"\n".join(raw))
+            words.append(names)
+            codes.append(np.where(numbers > 0, numbers + np.int32(known), np.int32(0)))
+            known += len(names)
+        pack = lambda array: zstandard.ZstdCompressor(level=1).compress(array)
+        flat = pa.concat_arrays(words)
+        sizes = np.diff(np.frombuffer(flat.buffers()[1], dtype="<i4")[: known + 1])
+        row = (list(texts), [int((x > 0).sum()) for x in codes], [len(x) for x in words], pack(sizes.tobytes()), pack(flat.buffers()[2] or b""), pack(np.concatenate(codes).tobytes()))
+        kinds = (pa.list_(pa.string()), *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 3)
+        return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds)], ["langs", "n_words", "n_distinct", "sizes", "letters", "codes"])
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, dicts, codes, held = [], {}, [], 0
-
-        def chunk() -> pa.RecordBatch:
-            nonlocal names, dicts, codes, held
-            flat = np.concatenate(codes)
-            packed = zstandard.ZstdCompressor(level=1).compress(flat.tobytes())
-            row = (list(dicts), [w.decode() for _, w in names], np.array([k for k, _ in names], dtype="<i4").tobytes(), packed, int((flat > 0).sum()))
-            kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.int64())
-            names, dicts, codes, held = [], {}, [], 0
-            return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds)], ["langs", "words", "lang_of", "codes", "n_words"])
-
-        end = np.zeros(1, dtype="<i4")
+        texts, held = {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not text.is_valid:
                     continue
-                raw = text.as_py().encode()
-                words = raw.translate(_PLAIN).replace(_BREAK, b" \xff ").split()
-                numbers = dicts.get(lang)
-                if numbers is None:
-                    numbers = dicts[lang] = _Codes(names, len(dicts))
-                codes += [np.fromiter(map(numbers.__getitem__, words), dtype="<i4", count=len(words)), end]
-                held += len(raw)
+                texts.setdefault(lang, []).append(text.as_py().encode())
+                held += len(texts[lang][-1])
                 if held >= chunk_bytes:
-                    yield chunk()
-        if codes:
-            yield chunk()
+                    yield chunk(texts)
+                    texts, held = {}, 0
+        if texts:
+            yield chunk(texts)
 
     return stored(docs.select(F.coalesce("lang", F.lit("und")), "text").mapInArrow(build, CHUNKS), "phrase-chunks")
 
@@ -94,45 +97,78 @@ class Chunk:
     """A chunk's words, their numbers in order, and hashes of words that hold the language too."""
 
     def __init__(self, row: dict):
-        self.langs, self.words = row["langs"].values, row["words"].values
-        self.lang_of = np.frombuffer(row["lang_of"].as_py(), dtype="<i4")
-        self.codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"].as_py()), dtype="<i4").astype(np.int64)
+        unpack = lambda name: zstandard.ZstdDecompressor().decompress(row[name].as_py())
+        self.langs = row["langs"].values
+        n_distinct = row["n_distinct"].values.to_numpy()
+        self.lang_of = np.repeat(np.arange(len(n_distinct)), n_distinct)
+        offsets = np.append(0, np.cumsum(np.frombuffer(unpack("sizes"), dtype="<i4"))).astype("<i4")
+        self.words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(unpack("letters")))
+        self.codes = np.frombuffer(unpack("codes"), dtype="<i4").astype(np.int64)
+        self.fine = self.codes > 0
         self.hash = np.append(np.uint64(0), hashes(self.langs.take(pa.array(self.lang_of)), self.words))
 
     def valid(self, size: int) -> np.ndarray:
         """Where a phrase of ``size`` words starts."""
         n = max(0, len(self.codes) - size + 1)
-        fine = self.codes[:n] > 0
+        fine = self.fine[:n].copy()
         for k in range(1, size):
-            fine = fine & (self.codes[k : k + n] > 0)
+            fine &= self.fine[k : k + n]
         return fine
 
-    def hashed(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Hashes of the phrases at ``at``."""
-        out = self.hash[self.codes[at]]
-        for k in range(1, size):
-            out = mix(out, self.hash[self.codes[at + k]])
-        return out
-
-    def distinct(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """One place of each distinct phrase among those at ``at``, and how often it stands there."""
-        number = self.codes[at]
-        for k in range(1, size):
-            _, number = np.unique(number * (len(self.words) + 1) + self.codes[at + k], return_inverse=True)
-        _, first, count = np.unique(number, return_index=True, return_counts=True)
-        return at[first], count
-
-    def phrases(self, at: np.ndarray, size: int) -> tuple[pa.Array, pa.Array]:
-        """Languages and texts of the phrases at ``at``."""
-        parts = [self.words.take(pa.array(self.codes[at + k] - 1)) for k in range(size)]
-        text = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-        return self.langs.take(pa.array(self.lang_of[self.codes[at] - 1])), text
+    def numbers(self, at: np.ndarray, size: int) -> list[np.ndarray]:
+        """First words, second words and so on of the phrases at ``at``."""
+        return [self.codes[at + k] for k in range(size)]
 
+    def hashed(self, numbers: list[np.ndarray]) -> np.ndarray:
+        """Hashes of phrases."""
+        out = self.hash[numbers[0]]
+        for x in numbers[1:]:
+            out = mix(out, self.hash[x])
+        return out
 
-def hashes(langs: pa.Array, words: pa.Array) -> np.ndarray:
-    """64-bit hashes of words with their languages."""
-    joined = pc.binary_join_element_wise(langs, words, "\0")
-    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in joined.to_pylist()), dtype=np.uint64, count=len(joined))
+    def distinct(self, at: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The distinct phrases among those at ``at``, by the numbers of their words, and how often each stands there."""
+        base, numbers = len(self.words) + 1, self.numbers(at, size)
+        if not len(at):
+            return numbers, at
+        if base**size >= 1 << 63:  # the numbers of a phrase do not fit into one
+            number = numbers[0]
+            for x in numbers[1:]:
+                _, number = np.unique(number * base + x, return_inverse=True)
+            _, first, count = np.unique(number, return_index=True, return_counts=True)
+            return self.numbers(at[first], size), count
+        key = numbers[0]
+        for x in numbers[1:]:
+            key = key * base + x
+        key.sort()
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count, key, out = np.diff(np.append(heads, len(key))), key[heads], []
+        for _ in range(size - 1):
+            key, last = np.divmod(key, base)
+            out.append(last)
+        return [key, *out[::-1]], count
+
+    def phrases(self, numbers: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+        """Languages and texts of phrases."""
+        parts = [self.words.take(pa.array(x - 1)) for x in numbers]
+        text = pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
+        return self.langs.take(pa.array(self.lang_of[numbers[0] - 1])), text
+
+
+def hashes(langs: pa.Array, words: pa.Array, step: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of words (none is empty) with their languages: sums over mixed letters and places, ``step`` bytes or a word at a time."""
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    coded = langs.dictionary_encode()
+    of = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))[coded.indices.to_numpy()]
+    ends = np.frombuffer(words.buffers()[1], dtype="<i4")[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    letters, out = np.frombuffer(words.buffers()[2], dtype=np.uint8), np.empty(len(words), dtype=np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(ends[0], ends[-1], step)), len(words)))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        starts = ends[a:b] - ends[a]
+        place = np.arange(ends[b] - ends[a]) - np.repeat(starts, np.diff(ends[a : b + 1]))
+        out[a:b] = np.add.reduceat(mix((place << 8 | letters[ends[a] : ends[b]]).astype(np.uint64) + np.uint64(1)), starts)
+    return mix(out, of)
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -198,7 +234,8 @@ def bitmap(rows: DataFrame, buckets: int, least: int) -> np.ndarray:
 
     out = np.zeros(buckets // 8, dtype=np.uint8)
     sums = rows.select("slice", "places", "counts").repartition(max(1, min(slices, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "slice")
-    for r in sums.mapInArrow(fold, "slice int, bits binary").toLocalIterator():
+    # All parts are summed at once, in one job; a local iterator would sum one part after another. What comes back is MOST_BUCKETS bits at most.
+    for r in sums.mapInArrow(fold, "slice int, bits binary").collect():
         at = r["slice"] * SLICE // 8
         out[at : at + SLICE // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out
@@ -236,9 +273,10 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, chunk_b
         raise ValueError("least must be from 1 to 255")
     spark = docs.sparkSession
     chunks = chunked(docs, chunk_bytes)
-    total = chunks.agg(F.sum("n_words")).first()[0] or 0
+    words = stored(chunks.select(F.explode(F.arrays_zip("langs", "n_words")).alias("w")).groupBy(F.col("w.langs").alias("lang")).agg(F.sum("w.n_words").alias("n")).where("n > 0"), "words-by-language")
+    total = words.agg(F.sum("n")).first()[0] or 0
     buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (total // 4).bit_length()))
-    found, words, sent = [], None, None
+    found, sent = [], None
 
     def counting(size: int, sent):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,17 +286,20 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, chunk_b
                 here = c.valid(size)
                 if shorter is not None:
                     part = c.valid(size - 1)
-                    at = np.flatnonzero(part)
-                    part[at] = is_set(shorter, c.hashed(at, size - 1))
+                    if size == 2:
+                        part &= np.append(False, is_set(shorter, c.hash[1:]))[c.codes]
+                    else:
+                        at = np.flatnonzero(part)
+                        part[at] = is_set(shorter, c.hashed(c.numbers(at, size - 1)))
                     here &= part[:-1] & part[1:]
                     at = np.flatnonzero(here)
-                    here[at] = is_set(own, c.hashed(at, size))
-                at, n = c.distinct(np.flatnonzero(here), size)
-                if len(at):
-                    yield _rows(phrases=(*c.phrases(at, size), n))
+                    here[at] = is_set(own, c.hashed(c.numbers(at, size)))
+                numbers, n = c.distinct(np.flatnonzero(here), size)
+                if len(n):
+                    yield _rows(phrases=(*c.phrases(numbers), n))
                 if size < longest and len(here) > 1:
-                    at, n = c.distinct(np.flatnonzero(here[:-1] & here[1:]), size + 1)
-                    if sums.add(c.hashed(at, size + 1), n):
+                    numbers, n = c.distinct(np.flatnonzero(here[:-1] & here[1:]), size + 1)
+                    if sums.add(c.hashed(numbers), n):
                         yield from sums.send()
             yield from sums.send()
 
@@ -267,8 +308,6 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, chunk_b
     for size in range(1, longest + 1):
         done = stored(chunks.mapInArrow(counting(size, sent), PASS), f"phrases-{size}")
         counts = done.where("slice IS NULL")
-        if size == 1:
-            words = stored(counts.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
         found.append(stored(counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), f"frequent-{size}"))
         if size < longest:
             bits = bitmap(hashed_phrases(found[-1], buckets, least), buckets, least), bitmap(done.where("slice IS NOT NULL"), buckets, least)

@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,5 +96,48 @@ def test_nothing_to_count(spark):
     assert collocations.collocations(empty).count() == 0 and collocations.collocations(empty.where("lang = 'x'")).count() == 0
 
 
+def test_buckets_are_summed_in_one_job(spark):
+    """Summing one part of the buckets after another left most cores idle."""
+    rows = spark.createDataFrame([("en", f"w{k} of") for k in range(2000)], "lang string, phrase string")
+    buckets = 64 * collocations.SLICE
+    slices = collocations.stored(collocations.hashed_phrases(rows, buckets, 10), "slices-of-a-test")
+    context = spark.sparkContext
+    context.setJobGroup("buckets-of-a-test", "")
+    try:
+        bits = collocations.bitmap(slices, buckets, 10)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert int(np.unpackbits(bits).sum()) > 1900
+    assert len(context.statusTracker().getJobIdsForGroup("buckets-of-a-test")) <= 2
+
+
+def test_words_are_numbered_in_order():
+    raw = "The the\tTHE, é\x1cé \x00;; x\n\n. . the ".encode()
+    names, numbers = collocations.numbered_words(raw)
+    assert [names[k - 1].as_py() if k else None for k in numbers.tolist()] == ["the", "the", "the", None, "é\x1cé", "\x00", None, "x", None, "the", None]
+    assert len(names) == 4 and all(len(collocations.numbered_words(x)[0]) == 0 for x in (b"", b" ", b"\n.,"))
+
+
+@pytest.mark.parametrize("base", [20, 1 << 40])
+def test_distinct_phrases_of_a_chunk(base):
+    """Also where a phrase's numbers do not fit into one number."""
+    draw = np.random.default_rng(4)
+    chunk = object.__new__(collocations.Chunk)
+    chunk.codes, chunk.words = draw.integers(0, 6, 500), range(base)
+    chunk.fine = chunk.codes > 0
+    for size in (1, 2, 3):
+        at = np.flatnonzero(chunk.valid(size))
+        numbers, n = chunk.distinct(at, size)
+        want = Counter(tuple(chunk.codes[k : k + size].tolist()) for k in range(501 - size) if chunk.codes[k : k + size].all())
+        assert dict(zip(zip(*(x.tolist() for x in numbers)), n.tolist())) == want
+
+
+def test_hashes_hold_places_and_languages():
+    words, langs = pa.array(["ab", "ba", "ab", "a" * 1000, "é", "ab"]), pa.array(["en", "en", "de", "en", "", "en"])
+    each = collocations.hashes(langs, words)
+    assert len(set(each.tolist())) == 5 and each[0] == each[5]
+    assert (collocations.hashes(langs, words, step=1) == each).all() and (collocations.hashes(langs[2:], words[2:]) == each[2:]).all()
+
+
 def test_op11_equals_sql(spark, sf_dir, same_as_sql):
     same_as_sql(registry.queries()["op11_collocations"](spark, sf_dir), collocations.SQL)
