@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import re
 import zlib
 
@@ -206,6 +207,44 @@ def test_pieces_round_trip(model, text):
     assert model.decode(ids) == text.replace("▁", " ")
 
 
+def test_parts_segmented_together_equal_those_segmented_alone(model, monkeypatch):
+    draw = random.Random(7)
+    letters = ["e", "n", "th", "ing", "Ã", "é", "中", "文字", "😀", "\n", "\x00", "\uffff", "\U0010ffff", "ß", "ation", "▁"]
+    parts = list({("▁" if draw.random() < 0.8 else "") + "".join(draw.choices(letters[:-1], k=draw.randint(1, 20))) for _ in range(3000)} | {"▁", "▁▁▁", "\x00", "x" * 63})
+    ids, count = model.segment_all(parts)
+    ends = np.cumsum(count).tolist()
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [model.segment(p) for p in parts]
+    texts = ["", "a b a", " ".join(letters), "▁", "y" * 500 + " a"]
+    want = [[i for p in sentencepiece.PARTS.findall("▁" + t.replace(" ", "▁")) if t for i in model.segment(p)] for t in texts]
+    model.forget()
+    asked = []
+    alone = model.segment
+    monkeypatch.setattr(model, "segment", lambda part: asked.append(part) or alone(part))
+    for _ in range(2):
+        values, count, same = model.encode_all(texts)
+        assert values.tolist() == sum(want, []) and count.tolist() == [len(x) for x in want] and same == [True, True, False, False, True]
+    assert asked == ["▁" + "y" * 500] * 2 and max(map(len, model.known)) < sentencepiece.LONG
+
+
+def test_parts_that_are_not_spelt_are_told(model, monkeypatch):
+    """A model without bytes writes one id for all unknown characters."""
+    monkeypatch.setattr(model, "of_byte", {})
+    model.forget()
+    texts = ["a \uffff", "hello", "a a"]
+    _, count, same = model.encode_all(texts)
+    model.forget()
+    assert same == [False, True, True] and count.min() > 0
+
+
+def test_the_memory_of_parts_is_bounded(model, monkeypatch):
+    monkeypatch.setattr(model, "remember", 50)
+    want = model.encode("aa bb cc")
+    for k in range(30):
+        model.encode_all([" ".join(f"w{k}x{j}" for j in range(20))])
+        assert len(model.known) < 80
+    assert model.encode("aa bb cc") == want
+
+
 def test_decoding_equals_library(model, library):
     for text in ("hello world", "naïve 中文 😀", " lead", "tail ", ""):
         ids = library.encode(text)
