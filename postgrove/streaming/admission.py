@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from postgrove.session import spread
 from postgrove.streaming.posts import use_rocksdb
 
 #: What a call is: when it came, how long it runs and what pause it brings, in milliseconds.
@@ -39,30 +40,38 @@ class Line:
         self.starts, self.ends, self.pauses = starts, ends, pauses
 
     def next_start(self, arrived: int, most: int, window: int, concurrency: int) -> int:
-        starts, ends = self.starts, self.ends
-        at = max(arrived, starts[-1]) if starts else arrived
-        while True:
-            wait = max((until for begin, until in self.pauses if begin <= at < until), default=at) if self.pauses else at
-            if len(ends) >= concurrency and ends[-concurrency] > wait:
-                wait = ends[-concurrency]
-            if len(starts) >= most and starts[-most] + window > wait:
-                wait = starts[-most] + window
-            if wait == at:
-                return at
-            at = wait
+        starts, ends, pauses, at = self.starts, self.ends, self.pauses, arrived
+        if starts and starts[-1] > at:
+            at = starts[-1]
+        free = starts[-most] + window if len(starts) >= most else at
+        if free > at:
+            at = free
+        if len(ends) >= concurrency and ends[-concurrency] > at:
+            at = ends[-concurrency]
+        again = bool(pauses)
+        while again:  # the other limits are lifted for good by now, but one pause may lead into another
+            again = False
+            for begin, until in pauses:
+                if begin <= at < until:
+                    at, again = until, True
+        return at
 
     def start(self, at: int, took: int, retry_after: int, most: int, concurrency: int) -> None:
         """Notes a start; nothing starts before it any more, so what has ended by then goes."""
-        end = at + took
-        self.starts = [*self.starts, at][-most:]
-        self.ends = [e for e in self.ends if e > at]
+        starts, ends, end = self.starts, self.ends, at + took
+        starts.append(at)
+        if len(starts) > most:
+            del starts[0]
+        while ends and ends[0] <= at:
+            del ends[0]
         if took > 0:
-            insort(self.ends, end)
-            del self.ends[:-concurrency]
-        if retry_after > 0:
-            self.pauses = [*self.pauses, (end, end + retry_after)]
+            insort(ends, end)
+            if len(ends) > concurrency:
+                del ends[0]
         if self.pauses:
-            self.pauses = [(a, b) for a, b in self.pauses if b > at]
+            self.pauses = [p for p in self.pauses if p[1] > at]
+        if retry_after > 0 and end + retry_after > at:
+            self.pauses.append((end, end + retry_after))
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -124,7 +133,7 @@ class Turns(StatefulProcessor):
         begins, timer = self.index.get() or ([], None)
         begins, held, touched = list(begins), [], False
         for part in rows:
-            calls = part[part["called"]]
+            calls = part[part["key"].notna()]
             if len(calls):
                 held.append(pa.Table.from_pandas(calls[_COLUMNS.names], schema=_COLUMNS, preserve_index=False))
             if sum(map(len, held)) >= HELD:
@@ -162,18 +171,18 @@ class Turns(StatefulProcessor):
 
     def _started(self, calls: pa.Table, lines: dict[str, Line]) -> pd.DataFrame:
         """Calls in order of time with their starts; ``lines`` has the lines of keys met before."""
-        starts = []
-        for key, arrived, took, retry_after in zip(*(calls[c].to_pylist() for c in ("key", "arrived", "took", "retry_after"))):
+        starts, most, window, concurrency, wait = [], self.most, self.window, self.concurrency, self.wait
+        for key, arrived, took, retry_after in zip(calls["key"].to_pylist(), *(calls[c].to_numpy().tolist() for c in ("arrived", "took", "retry_after"))):
             line = lines.get(key)
             if line is None:
                 if len(lines) >= LINES:
                     self._keep(lines)
                 kept = self.lines.getValue((key,)) or ([], [], [], [])
                 line = lines[key] = Line(list(kept[0]), list(kept[1]), list(zip(kept[2], kept[3])))
-            start = line.next_start(arrived, self.most, self.window, self.concurrency)
-            goes = self.wait or start == arrived
+            start = line.next_start(arrived, most, window, concurrency)
+            goes = wait or start == arrived
             if goes:
-                line.start(start, took, retry_after, self.most, self.concurrency)
+                line.start(start, took, retry_after, most, concurrency)
             starts.append(start if goes else None)
         return calls.select(["key", "id", "arrived"]).to_pandas().assign(started=pd.array(starts, "Int64"))
 
@@ -190,9 +199,9 @@ def turns(calls: DataFrame, most: int = 10, window: int = 60_000, concurrency: i
     use_rocksdb(calls.sparkSession)
     kind = calls.schema["key"].dataType
     number = lambda c, name: F.coalesce(c.cast("long"), F.lit(0)).alias(name)  # noqa: E731  no null, since pandas has no null among whole numbers
-    text = F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("")).alias("key")
-    called = (F.col("id").isNotNull() & F.col("at").isNotNull()).alias("called")
-    rows = calls.withWatermark("at", late).select(text, called, number(F.unix_millis("at"), "arrived"), *[number(F.col(c), c) for c in ("id", "took", "retry_after")], "at")
+    text = F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit(""))
+    text = F.when(F.col("id").isNotNull() & F.col("at").isNotNull(), text).alias("key")  # null if the row is no call
+    rows = calls.withWatermark("at", late).select(text, number(F.unix_millis("at"), "arrived"), *[number(F.col(c), c) for c in ("id", "took", "retry_after")], "at")
     rows = rows.withColumn("bucket", F.pmod(F.hash("key"), F.lit(buckets)))
     shape = StructType([StructField("key", StringType()), *(StructField(c, LongType()) for c in ("id", "arrived", "started"))])
     processor = Turns(most, window, concurrency, step or window, wait)
@@ -204,5 +213,5 @@ def call_stream(spark: SparkSession, calls: DataFrame, folder: str) -> DataFrame
     """Calls of a table as a stream that ends: they are written to ``folder`` with a closing row, and read as one batch, since files of a table are in no order of time."""
     mark = calls.limit(0).select("key").join(spark.range(1), F.lit(True), "right").select("key", F.lit(None).cast("long").alias("id"), F.lit("2200-01-01").cast("timestamp").alias("at"), F.lit(0).cast("long").alias("took"), F.lit(0).cast("long").alias("retry_after"))
     every = calls.select("key", "id", "at", "took", "retry_after").unionByName(mark)
-    every.write.parquet(folder)
+    spread(every).write.parquet(folder)
     return spark.readStream.schema(every.schema).parquet(folder)

@@ -9,6 +9,7 @@ from types import SimpleNamespace
 import pandas as pd
 import pytest
 
+from postgrove.plans import catalogue
 from postgrove.streaming import admission, posts
 from tests.test_admission import replay
 
@@ -26,6 +27,14 @@ def test_keys_and_large_ids_are_exact_beside_the_closing_row(spark, tmp_path):
     assert {(r["key"], r["id"], r["started"] - zero) for r in got.collect()} == {(c[0], c[1], 5000 * ((c[1] - 2**60) // 300)) for c in calls[:900]} and got.count() == 900
 
 
+def test_all_events_are_admitted_or_refused_under_their_own_user(spark, tmp_path):
+    """``stream_admission`` over users with 2 to 5 events in an hour: the fourth and fifth are refused, and a user without a number is a user."""
+    rows = [(1000 * k + n, (FIRST + timedelta(minutes=n)).replace(tzinfo=None), None if k == 3 else k) for k in range(200) for n in range(2 + k % 4)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.queries()["stream_admission"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((u, i, i % 1000 < 3) for i, _, u in rows), key=repr)
+
+
 @pytest.mark.parametrize("kind,keys", [("string", ["a", "", None, "ü=1"]), ("date", [FIRST.date(), None]), ("double", [0.1, 1e300])])
 def test_keys_of_other_types(spark, tmp_path, kind, keys):
     table = spark.createDataFrame([(k, i, FIRST, 1000, 0) for i, k in enumerate(keys + keys)], f"key {kind}, {admission.CALL}")
@@ -72,7 +81,7 @@ def test_chunks_of_unordered_calls_equal_the_replay(monkeypatch, seed, wait):
     for until in [*range(0, 4000, 400), 10**6]:
         new = [(draw.choice("abc"), len(told) + i, draw.randint(until, until + span), draw.choice([0, 7, 40]), draw.choice([0, 0, 25])) for i in range(draw.choice([0, 1, 60]))] if until < 4000 else []
         told += new
-        parts = [pd.DataFrame(new[a : a + 9], columns=admission._COLUMNS.names).assign(called=True) for a in range(0, len(new), 9)]
+        parts = [pd.DataFrame(new[a : a + 9], columns=admission._COLUMNS.names) for a in range(0, len(new), 9)]
         now = SimpleNamespace(getCurrentWatermarkInMs=lambda u=until: u)
         list(turns.handleInputRows((0,), iter(parts), now))
         for timer in sorted(t for t in state.timers if t <= until):
